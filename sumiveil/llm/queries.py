@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sumiveil.llm.bpe_codec import op9_bpe_codec
 from sumiveil.llm.packing import op7_pack
+from sumiveil.llm.quality import op10_quality
 from sumiveil.llm.simhash import op6_simhash
 from sumiveil.llm.sketches import op1_fingerprints
 from sumiveil.llm.token_counts import op4_token_counts
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_pack": op7_pack,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
