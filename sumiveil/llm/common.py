@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a word is, for the operators whose contract says so.
@@ -85,3 +85,13 @@ def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def doc_key(doc_id: str = "doc_id", text: str = "text"):
     """Key of a document: rows that repeat both id and text are one document."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.lit("\x1f"), F.col(text))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, even where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """The value, fenced: a later filter isn't pushed below it, which would compute it a second time."""
+    return F.when(F.rand(0) >= 0, value)

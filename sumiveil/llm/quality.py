@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import SPACE, read_table
+from sumiveil.llm.common import SPACE, let, once, read_table
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -42,7 +42,7 @@ def line_fails(line: Column) -> Column:
 
 def repeat_words(w: Column) -> Column:
     """Words that stand in a window of five found at least twice, the first included, as an array of word columns."""
-    hashed = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3), F.get(w, i + 4)))
+    hashed = let(w, lambda v: F.transform(v, lambda x, i: F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2), F.get(v, i + 3), F.get(v, i + 4))))
     return F.when(F.size(w) >= WINDOW, F.slice(hashed, F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -54,10 +54,9 @@ def covered(windows: Column) -> Column:
     """
     sort = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     again = lambda s: F.transform(s, lambda x, j: F.when((F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), x["i"]))
-    # one-element arrays bind what is used more than once
-    places = F.transform(F.array(sort), lambda s: F.array_sort(F.array_compact(again(s))))
-    steps = F.transform(places, lambda p: F.transform(p, lambda x, j: F.least(F.lit(WINDOW), x - F.coalesce(F.get(p, j - 1), F.lit(-WINDOW)))))
-    total = F.aggregate(F.get(steps, F.lit(0)), F.lit(0), lambda a, x: a + x)
+    places = let(sort, lambda s: F.array_sort(F.array_compact(again(s))))
+    steps = let(places, lambda p: F.transform(p, lambda x, j: F.least(F.lit(WINDOW), x - F.coalesce(F.get(p, j - 1), F.lit(-WINDOW)))))
+    total = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(total)
 
 
@@ -88,7 +87,7 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
     q = F.col("_q")
     failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
     kept = ~failed & (q["n_bad_words"] <= max_loss * q["n_words"])
-    return one.withColumn("_q", q.withField("base_failed", failed).withField("kept", kept)).drop("_t", "_w", "_l", "_v", "_bad")
+    return one.withColumn("_q", once(q.withField("base_failed", failed).withField("kept", kept))).drop("_t", "_w", "_l", "_v", "_bad")
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sumiveil.llm.bpe_codec import op9_bpe_codec
+from sumiveil.llm.licenses import op5_licenses
 from sumiveil.llm.packing import op7_pack
 from sumiveil.llm.quality import op10_quality
 from sumiveil.llm.simhash import op6_simhash
@@ -12,6 +13,7 @@ from sumiveil.llm.token_counts import op4_token_counts
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_pack": op7_pack,
     "op9_bpe_codec": op9_bpe_codec,
