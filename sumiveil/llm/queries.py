@@ -8,14 +8,18 @@ from sumiveil.llm.packing import op7_pack
 from sumiveil.llm.quality import op10_quality
 from sumiveil.llm.simhash import op6_simhash
 from sumiveil.llm.sketches import op1_fingerprints
+from sumiveil.llm.substrings import op8_substrings
 from sumiveil.llm.token_counts import op4_token_counts
+from sumiveil.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_pack": op7_pack,
+    "op8_substrings": op8_substrings,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
 }
