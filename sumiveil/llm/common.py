@@ -84,7 +84,7 @@ def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def doc_key(doc_id: str = "doc_id", text: str = "text"):
     """Key of a document: rows that repeat both id and text are one document."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.lit("\x1f"), F.col(text))
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\x1f"), F.coalesce(F.col(text), F.lit("")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sumiveil.llm.bpe_codec import op9_bpe_codec
 from sumiveil.llm.licenses import op5_licenses
+from sumiveil.llm.maxent import op3_maxent
 from sumiveil.llm.packing import op7_pack
 from sumiveil.llm.quality import op10_quality
 from sumiveil.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ from sumiveil.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_maxent": op3_maxent,
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import gather_runs, read_table, settle, slices
+from sumiveil.llm.common import doc_key, gather_runs, read_table, settle, slices
 from sumiveil.llm.components import connected_components
 
 SEGMENTS = ((0, 32), (32, 64))
@@ -76,22 +76,30 @@ def near_links(distinct: DataFrame, value: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row: fingerprints at most two bits apart are linked.
+    """doc_id, key, fp, root (longs) and component_id of every row: fingerprints at most two bits apart are linked.
 
-    component_id is the least doc_id reachable, the row's own included.  Null, empty and blank texts
-    have fingerprint 0 and are linked like any other; rows that repeat stay apart as rows, in one
-    component.  A null doc_id is kept and is least only where a component has no other.  An empty
-    table gives no rows; other columns are not looked at.  Copies share a fingerprint and are
+    component_id is the least doc_id reachable, the row's own included; root names the component
+    itself, key the document (rows that repeat doc_id and text share it).  Null, empty and blank
+    texts have fingerprint 0 and are linked like any other; rows that repeat stay apart as rows, in
+    one component.  A null doc_id is kept and is least only where a component has no other.  An
+    empty table gives no rows; other columns are not looked at.  Copies share a fingerprint and are
     collapsed before any linking.
     """
-    marked = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
+    marked = settle(docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("key"), fingerprint(F.col(text), shingle).alias("fp")))
     node = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = connected_components(near_links(node))
     member = found.join(node, found.node == node.fp)
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = found.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    component = node.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    linked = found.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("linked"))
+    component = node.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return marked.join(component, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document of least doc_id (null ids last), once."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text)
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("x")).select(F.col("x.k").alias("_key"))
+    return docs.withColumn("_key", doc_key(doc_id, text)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ MAX_LABELLED = 20_000
 STEM = 4
 PASSAGE = 2
 DISCOUNT = 0.75
-STEM_DISCOUNT = 3.0
+STEM_DISCOUNT = 0.75
 EDGE = ".,;:!?()[]{}\"'«»¡¿…*_-$%&#|<>=/\\~"
 
 
