@@ -20,6 +20,12 @@ CELLS = [
     (1, 3, 1, "A-002"), (1, 3, 2, "なし"), (1, 3, 3, "-"), (1, 3, 4, "03-1234-5678"), (1, 3, 5, "A-001 の件"), (1, 3, 6, "佐藤花子を担当"), (1, 3, 7, "-"), (1, 3, 8, "2"),
     (1, 4, 1, "A-003"), (1, 4, 2, " 佐藤 花子"), (1, 4, 3, "大阪府大阪市北区1-1"), (1, 4, 4, "090-1111-2222"), (1, 4, 6, "A-001 の件、A-0012 は別"), (1, 4, 8, "3"),
 ]
+SANITISED = [
+    (2, 1, "{{ID_1}}"), (2, 2, "{{PERSON_1}}"), (2, 3, "{{ADDRESS_1}}"), (2, 4, "{{PHONE_1}}"), (2, 6, "{{PERSON_1}}に連絡済み"), (2, 7, "{{EMAIL_1}}"), (2, 8, "{{ID_2}}"),
+    (3, 1, "{{ID_3}}"), (3, 4, "{{PHONE_2}}"), (3, 6, "{{PERSON_2}}を担当"), (3, 8, "{{ID_4}}"),
+    (4, 1, "{{ID_5}}"), (4, 2, " {{PERSON_2}}"), (4, 3, "{{ADDRESS_2}}"), (4, 4, "{{PHONE_3}}"), (4, 6, "{{ID_1}} の件、A-0012 は別"), (4, 8, "{{ID_6}}"),
+]
+CANDIDATES = [("総務部と（株）", "ORGANIZATION", 1), ("サンプル商事株式会社", "ORGANIZATION", 1), ("株式会社サンプル商事", "ORGANIZATION", 2), ("（株）テスト", "ORGANIZATION", 1), ("東京都千代田区千代田1-1サクラビル3階", "LOCATION", 1), ("大阪府大阪市北区1-1", "LOCATION", 1)]
 RULES = [(0, 1, 2, 4, "ID", ""), (1, 2, 2, 4, "PERSON", "なし"), (2, 3, 2, 4, "LOCATION", "-"), (3, 4, 2, 4, "PHONE", ""), (4, 5, 2, 4, "NONE", ""), (5, 7, 2, 4, "EMAIL", ""), (6, 8, 2, 4, "ID", "")]
 NUMBERS = [
     (1, "お問い合わせは 03-1234-5678 まで"), (2, "全角 ０３－１２３４－５６７８ です"), (3, "括弧 03(1234)5678"), (4, "空白 03 1234 5678 。"), (5, "国番号 +81-3-1234-5678"),
@@ -265,6 +271,12 @@ ORACLE_SQL = {
     "cell_runs": f"SELECT col, min(row) AS first_row, max(row) AS last_row FROM (SELECT col, row, row - row_number() OVER (PARTITION BY col ORDER BY row) AS g FROM {_CELLS}) GROUP BY col, g",
     "sheet_mapping": f"""SELECT k AS kind, count(DISTINCT v) AS n FROM (SELECT v, CASE kind WHEN 'LOCATION' THEN 'ADDRESS' ELSE kind END AS k FROM ({_MODED}) WHERE mode = 'whole') GROUP BY k""",
     "excluded_leaks": f"SELECT DISTINCT w.v AS value FROM ({_MODED}) w, ({_MODED}) x WHERE w.mode = 'whole' AND x.mode = 'excluded' AND contains(x.text, w.v) AND length(w.v) > 1",
+    "column_density": f"""SELECT col, kind FROM (SELECT col, kind, count(*) AS n, any_value(total) AS total FROM (
+        SELECT col, count(*) OVER (PARTITION BY col) AS total, CASE WHEN regexp_matches(text, '{_E}') THEN 'EMAIL' WHEN regexp_matches(text, '{_PHONE}') THEN 'PHONE' END AS kind
+        FROM {_CELLS} WHERE row > 1 AND trim(text) <> '') WHERE kind IS NOT NULL GROUP BY col, kind) WHERE total >= 2 AND n * 10 >= total * 6""",
+    # known results of the two fixtures
+    "sheet_sanitise": f"SELECT row, col, text FROM (VALUES {_values(SANITISED)}) t(row, col, text)",
+    "candidates": f"SELECT text, entity_type, count FROM (VALUES {_values(CANDIDATES)}) t(text, entity_type, count)",
     "source_names": "SELECT DISTINCT source FROM documents WHERE source <> ''",
     "coverage": f"""SELECT id, g <> '' AND f <> '' AND (contains(f, g) OR contains(g, f)) AS loose, g <> '' AND contains(f, g) AS strict, CAST(length(found) - length(replace(found, '田', '')) AS INTEGER) AS n
         FROM (SELECT id, found, replace(replace(replace(expected, ' ', ''), '㈱', '株式会社'), '㈲', '有限会社') AS g, replace(replace(replace(found, ' ', ''), '㈱', '株式会社'), '㈲', '有限会社') AS f FROM (VALUES {_values(ENTITIES)}) t(id, expected, found))""",
