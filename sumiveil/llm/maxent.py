@@ -25,17 +25,20 @@ from pyspark.sql import functions as F
 
 from sumiveil.llm.common import read_table, row_sums, settle, slices, words_of
 
-HEAD_CLASSES, SLOTS, RARE = 48, 64, 16
+HEAD_CLASSES, SLOTS, RARE = 20, 64, 12
 CLASSES = HEAD_CLASSES + RARE
 HEAD = HEAD_CLASSES * SLOTS
 START = HEAD + RARE
 CONTEXTS = START + 1
 PAIR_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
 CLASS_ROWS = 2 * CONTEXTS + PAIR_ROWS
-ROWS = CLASS_ROWS + SLOT_ROWS
+#: Rows of class weights are half as wide as those of slot weights, and are kept two by two.
+PAIRED = CLASS_ROWS // 2
+ROWS = PAIRED + SLOT_ROWS
 KNOWN = 1 << 20
+CACHED = 500_000
 BLOCKS = 128
-BATCH = 8192
+BATCH = 4096
 ROUNDS = 2
 RATE = 0.15
 TOKENS_PER_TRAINER = 4_000_000
@@ -51,11 +54,24 @@ def shape(word: str) -> int:
     return (0 if word.isascii() else 6) + (3 if len(word) > 8 else 0) + (0 if last.isalnum() else 1 if last in ".," else 2)
 
 
+class _Hashes(dict):
+    """Hashes of the words that a worker has met, emptied when they are too many."""
+
+    def __missing__(self, word: str) -> int:
+        h = (xxhash.xxh64_intdigest(word) & ~15) | shape(word)
+        self[word] = h = h - ((h >> 63) << 64)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a batch's tokens (each text's words, then its end), row offsets, and the codes' hashes."""
     codes, offsets, words = words_of(pc.ascii_lower(texts))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(((digest(w) & ~15) | shape(w) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    if len(_HASHES) > CACHED:
+        _HASHES.clear()
+    hashes = np.fromiter(map(_HASHES.__getitem__, words.to_pylist()), np.int64, len(words))
     n = len(texts)
     wide = np.full(len(codes) + n, len(words), np.int64)
     rows = np.arange(n + 1)
@@ -108,7 +124,7 @@ class Model:
 
     def forward(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray):
         """Rows of the features, both softmaxes and what they give the tokens' classes and slots."""
-        w = self.weights
+        w, inside = self.weights[:PAIRED].reshape(CLASS_ROWS, CLASSES), self.weights[PAIRED:]
         rows = (one, CONTEXTS + two, 2 * CONTEXTS + ((one.astype(np.uint32) * np.uint32(2654435761) + two.astype(np.uint32) * np.uint32(40503) >> np.uint32(7)) & np.uint32(PAIR_ROWS - 1)).astype(np.int32))
         is_head = symbol < HEAD
         kind = np.where(is_head, symbol // SLOTS, HEAD_CLASSES - HEAD + symbol)
@@ -119,9 +135,9 @@ class Model:
         head = np.flatnonzero(is_head)
         own = kind[head]
         mixed = own.astype(np.uint32) * np.uint32(0x9E3779B1)
-        slot_rows = tuple(CLASS_ROWS + ((mixed + c[head].astype(np.uint32) * np.uint32(m) >> np.uint32(9)) & np.uint32(SLOT_ROWS - 1)).astype(np.int32) for c, m in ((one, 2246822519), (two, 3266489917)))
-        inner = self.slot_bias[own] + w[slot_rows[0]]
-        inner += w[slot_rows[1]]
+        slot_rows = tuple(((mixed + c[head].astype(np.uint32) * np.uint32(m) >> np.uint32(9)) & np.uint32(SLOT_ROWS - 1)).astype(np.int32) for c, m in ((one, 2246822519), (two, 3266489917)))
+        inner = self.slot_bias[own] + inside[slot_rows[0]]
+        inner += inside[slot_rows[1]]
         return rows, kind, p, head, slot_rows, symbol[head] % SLOTS, softmax(inner)
 
     def log_probability(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -135,30 +151,33 @@ class Model:
             out[s] = gain
         return out
 
-    def train(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray, squares: np.ndarray) -> None:
-        """One pass of gradient steps, a batch of tokens at a time."""
+    def train(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
+        """One pass of gradient steps, a batch of tokens at a time; ``squares`` are those of class and slot rows."""
+        classes, inside = self.weights[:PAIRED].reshape(CLASS_ROWS, CLASSES), self.weights[PAIRED:]
         for a in range(0, len(symbol), BATCH):
             s = slice(a, a + BATCH)
             rows, kind, p, head, slot_rows, slot, q = self.forward(symbol[s], one[s], two[s])
             p[np.arange(len(kind)), kind] -= 1
             q[np.arange(len(head)), slot] -= 1
-            for r, g in (*((r, p) for r in rows), *((r, q) for r in slot_rows)):
+            for r, g, w, sq in (*((r, p, classes, squares[0]) for r in rows), *((r, q, inside, squares[1]) for r in slot_rows)):
                 if not len(r):
                     continue
-                order = np.argsort(r, kind="stable")
+                order = np.argsort(r)
                 ranked = r[order]
-                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                step = np.add.reduceat(g[order], first, axis=0)
-                at = ranked[first]
-                squares[at] += np.einsum("ij,ij->i", step, step) / SLOTS
-                self.weights[at] -= RATE / np.sqrt(squares[at] + 1)[:, None] * step
+                last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
+                at = ranked[last]
+                step = np.cumsum(g[order], axis=0)[last]  # then differences: sums of equal rows
+                step[1:] -= step[:-1].copy()
+                sq[at] += np.einsum("ij,ij->i", step, step) / step.shape[1]
+                w[at] -= (RATE / np.sqrt(sq[at] + 1))[:, None] * step
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """In place; logits beyond 60 either way count as 60, so nothing overflows or vanishes."""
+    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    np.maximum(x, 1e-30, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    np.maximum(x, 1e-12, out=x)
     return x
 
 
@@ -222,14 +241,14 @@ def _trainer(now):
         model: Model = now.value
         first = model.weights
         model.weights = first.copy()
-        squares = np.zeros(ROWS, np.float32)
+        squares = np.zeros(CLASS_ROWS, np.float32), np.zeros(SLOT_ROWS, np.float32)
         try:
             for batch in batches:
                 for _, some in slices(batch.column(0), SLICE):
                     codes, offsets, hashes = tokens(some)
                     symbol, _ = model.look_up(codes, hashes)
                     model.train(symbol, *model.history(symbol, offsets), squares)
-            change, used = model.weights - first, squares
+            change, used = model.weights - first, np.concatenate([squares[0].reshape(-1, 2).sum(axis=1), squares[1]])
         finally:
             model.weights = first  # the worker may take another task
         for k, rows in blocks():
@@ -282,10 +301,11 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
             parts.append((np.diff(offsets), row_sums(seen, offsets), row_sums(base, offsets), row_sums(gain, offsets)))
             at = np.flatnonzero(~seen)
             row = np.searchsorted(offsets, at, "right") - 1
-            pair, n = np.unique(np.stack([row, codes[at]]), axis=1, return_counts=True) if len(at) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            hashes.append(own[pair[1]])
+            pair, n = np.unique(row * len(own) + codes[at], return_counts=True)
+            row, code = np.divmod(pair, len(own))
+            hashes.append(own[code])
             times.append(n)
-            ends.extend((np.searchsorted(pair[0], np.arange(len(some)), "right") + ends[-1]).tolist())
+            ends.extend((np.searchsorted(row, np.arange(len(some)), "right") + ends[-1]).tolist())
         columns = [np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts) if parts else [()] * 4)]
         ends = pa.array(ends, pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0), kind)) for x, kind in ((hashes, pa.int64()), (times, pa.int32()))]
