@@ -166,13 +166,14 @@ def normalise_entity(text):
 
 def exchange_address(text):
     """Whether an address is an Exchange distinguished name."""
-    return _c(text).rlike(r"(?i)^/o=.*/(ou|cn)=")
+    return trim(text).rlike(r"^/[oO]=[^/]*(?:/(?i:ou|cn|c|dc|l|s|g|i)=[^/]*)+$")
 
 
 def name_with_address(name, address):
-    n, a = F.coalesce(_c(name), F.lit("")), F.coalesce(_c(address), F.lit(""))
-    a = F.when(exchange_address(a), F.lit("")).otherwise(a)
-    return F.when((n != "") & (a != "") & (n != a), F.concat(n, F.lit(" <"), a, F.lit(">"))).when(n != "", n).otherwise(a)
+    """``name <address>``; an empty or Exchange address is left out."""
+    n, a = F.coalesce(trim(name), F.lit("")), F.coalesce(trim(address), F.lit(""))
+    shown = F.concat(F.lit("<"), a, F.lit(">"))
+    return F.when((a == "") | exchange_address(a), n).when(n == "", shown).otherwise(F.concat(n, F.lit(" "), shown))
 
 
 def column_letter(number):

@@ -40,7 +40,7 @@ def _typed(spans: Column, kind: str, rank: int) -> Column:
 
 
 def group_entities(tokens: DataFrame) -> DataFrame:
-    """Consecutive tokens of one label become an entity; ``tokens`` has doc_id, pos, label, begin, end, score.
+    """Consecutive tokens of one and the same label become an entity; ``tokens`` has doc_id, pos, label, begin, end, score.
 
     The label's part after ``-`` is mapped to an entity type; O and unmapped labels give nothing; the
     score is the mean of the tokens'.
@@ -48,7 +48,7 @@ def group_entities(tokens: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
     name = F.element_at(F.split("label", "-"), -1)
     types = F.create_map(*[F.lit(x) for kv in P.LABEL_MAP.items() for x in kv])
-    marked = tokens.withColumn("name", name).withColumn("new", (F.lag("name").over(by_doc).isNull() | (F.lag("name").over(by_doc) != F.col("name"))).cast("int"))
+    marked = tokens.withColumn("name", name).withColumn("new", (F.lag("label").over(by_doc).isNull() | (F.lag("label").over(by_doc) != F.col("label"))).cast("int"))
     islands = marked.withColumn("island", F.sum("new").over(by_doc)).groupBy("doc_id", "island", "name").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.avg("score").cast("float").alias("score"))
     return islands.withColumn("type", F.try_element_at(types, F.col("name"))).where(F.col("type").isNotNull()).select("doc_id", "type", "begin", "end", "score")
 

@@ -35,7 +35,7 @@ PROSE = [
     (1, "株式会社サンプル商事、担当は山田。東京都千代田区千代田1-1サクラビル3階"), (2, "連絡先: サンプル商事株式会社 a@example.jp"), (3, "大阪府大阪市北区1-1、株式会社サンプル商事"), (4, "難波(なんば)さん\n折り返し\n\nこの行は\n続く。"), (5, "総務部と（株）テスト"),
 ]
 HEADERS = ["氏名", "ふりがな", "会社名", "住所", "電話番号", "メールアドレス", "郵便番号", "社員番号", "ID", "備考", "TEL", "NO.", "VOID"]
-LABELS = [(1, 0, "B-PER", 0, 2, 0.5), (1, 1, "I-PER", 2, 4, 1.0), (1, 2, "O", 4, 5, 0.25), (1, 3, "B-INS", 5, 8, 0.75), (1, 4, "O", 8, 9, 0.5), (2, 0, "B-ORG", 0, 3, 0.5), (2, 1, "B-LOC", 3, 5, 0.25)]
+LABELS = [(1, 0, "B-PER", 0, 2, 0.5), (1, 1, "B-PER", 2, 4, 1.0), (1, 2, "O", 4, 5, 0.25), (1, 3, "B-INS", 5, 8, 0.75), (1, 4, "O", 8, 9, 0.5), (2, 0, "B-ORG", 0, 3, 0.5), (2, 1, "B-LOC", 3, 5, 0.25)]
 ENTITIES = [(1, "サンプル商事㈱", "サンプル商事株式会社"), (2, "山田 太郎", "山田"), (3, "灰田涼", "灰田"), (4, "北", "東"), (5, "", "東")]
 TERMS = [(0, "idiot", "PERSON", False), (1, "worthless", "ORGANIZATION", False), (2, "the", "ID", True)]
 
@@ -259,8 +259,8 @@ ORACLE_SQL = {
     "pattern_spans": f"SELECT doc_id, type, value FROM ({_SPANS})",
     "group_entities": f"""SELECT doc_id, type, min(b) AS begin_at, max(e) AS end_at, avg(s) AS score FROM (
         SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (
-          SELECT doc_id, pos, b, e, s, name, CASE name WHEN 'PER' THEN 'PERSON' WHEN 'ORG' THEN 'ORGANIZATION' WHEN 'LOC' THEN 'LOCATION' WHEN 'INS' THEN 'LOCATION' END AS type,
-            CAST(lag(name) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM name AS INTEGER) AS new
+          SELECT doc_id, pos, b, e, s, label, name, CASE name WHEN 'PER' THEN 'PERSON' WHEN 'ORG' THEN 'ORGANIZATION' WHEN 'LOC' THEN 'LOCATION' WHEN 'INS' THEN 'LOCATION' END AS type,
+            CAST(lag(label) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM label AS INTEGER) AS new
           FROM (SELECT *, string_split(label, '-')[-1] AS name FROM (VALUES {_values(LABELS)}) t(doc_id, pos, label, b, e, s)))) WHERE type IS NOT NULL GROUP BY doc_id, type, island""",
     "column_kinds": f"""SELECT h AS header, {_KIND} AS kind, CASE WHEN regexp_matches(h, '氏名|名前|担当|姓名|顧客名|会員名|氏 名|name|Name') THEN 'name' WHEN regexp_matches(h, '会社|取引先|法人|企業|組織|得意先|屋号|company|Company') THEN 'company' ELSE '' END AS guess
         FROM (VALUES {_values([(h,) for h in HEADERS])}) t(h)""",

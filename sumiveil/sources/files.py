@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumiveil.sources import extract as X
+from sumiveil.sources import msg as _msg  # registers the extractor
 
 PASSPHRASE_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"[:31]
 

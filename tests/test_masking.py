@@ -167,7 +167,7 @@ def test_dense_numbers_cross_buckets(spark):
 
 
 def test_entities(spark):
-    rows = [(1, 0, "B-PER", 0, 2, 0.5), (1, 1, "I-PER", 2, 4, 1.0), (1, 2, "O", 4, 5, 0.2), (1, 3, "B-INS", 5, 8, 0.75)]
+    rows = [(1, 0, "B-PER", 0, 2, 0.5), (1, 1, "B-PER", 2, 4, 1.0), (1, 2, "O", 4, 5, 0.2), (1, 3, "B-INS", 5, 8, 0.75)]
     df = spark.createDataFrame(rows, "doc_id int, pos int, label string, begin int, end int, score double")
     assert sorted((r["type"], r["begin"], r["end"], r["score"]) for r in D.group_entities(df).collect()) == [("LOCATION", 5, 8, 0.75), ("PERSON", 0, 4, 0.75)]
 

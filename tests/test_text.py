@@ -60,6 +60,12 @@ def test_column_letters(spark):
         assert one(spark, "", T.column_letter(F.lit(n))) == s
 
 
+def test_names_with_addresses(spark):
+    for n, a, e in ((" A ", "a@b", "A <a@b>"), ("", "a@b", "<a@b>"), ("A", "/o=x/ou=y/cn=z", "A"), ("A", None, "A"), (None, "", "")):
+        df = spark.createDataFrame([(n, a)], "n string, a string")
+        assert df.select(T.name_with_address("n", "a").alias("x")).first()["x"] == e
+
+
 def test_base64_is_lenient(spark):
     assert bytes(one(spark, "YW\nJj=YQ==", T.base64_lenient("text"))) == b"abc"
 
