@@ -25,19 +25,22 @@ def words(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word is to go; never null."""
-    n = F.size(words(line))
-    chars = F.length(line)
-    return (
-        # punctuation: symbols, shouting, or a long line without any
-        (F.regexp_count(line, F.lit(r"[#*$%&|<>{}\\^~=_]")) * 10 > chars)
-        | (F.regexp_count(line, F.lit(r"[!?]")) > F.greatest(F.lit(2), n / 2))
-        | ((n >= 40) & ~line.rlike(r"[.!?;:,。！？]"))
-        # navigation: cells and crumbs, or a short line that opens like a menu
-        | (F.regexp_count(line, F.lit(r"( \||\| | > | » | › | · )")) * 4 > n)
-        | ((n <= 6) & line.rlike(NAVIGATION))
-        # boilerplate: a short line with a stock phrase
-        | ((n <= 25) & line.rlike(BOILERPLATE))
-    )
+
+    def judge(n: Column) -> Column:
+        marked = line.rlike(r"[#*$%&|<>{}\\^~=_!?»›·]")  # most lines have none of these, and need no count
+        return (
+            # punctuation: symbols, shouting, or a long line without any
+            (marked & (F.regexp_count(line, F.lit(r"[#*$%&|<>{}\\^~=_]")) * 10 > F.length(line)))
+            | (marked & (F.regexp_count(line, F.lit(r"[!?]")) > F.greatest(F.lit(2), n / 2)))
+            | ((n >= 40) & ~line.rlike(r"[.!?;:,。！？]"))
+            # navigation: cells and crumbs, or a short line that opens like a menu
+            | (marked & (F.regexp_count(line, F.lit(r"( \||\| | > | » | › | · )")) * 4 > n))
+            | ((n <= 6) & line.rlike(NAVIGATION))
+            # boilerplate: a short line with a stock phrase
+            | ((n <= 25) & line.rlike(BOILERPLATE))
+        )
+
+    return let(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), judge)
 
 
 def repeat_words(w: Column) -> Column:
@@ -66,28 +69,36 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
     The exact 64-bit window hashes of one document are compared with each other only, so a clash
     among its n windows has a chance of n*n / 2**65.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumn("_t", t).withColumn("_w", words(F.col("_t"))).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    one = one.withColumn("_v", repeat_words(F.col("_w"))).withColumn("_bad", F.filter("_l", line_fails))
     count = lambda c: c.cast("long")
-    one = one.withColumn(
-        "_q",
-        F.struct(
-            count(F.size("_w")).alias("n_words"),
-            count(F.length(F.array_join("_w", ""))).alias("word_chars"),
-            count(F.regexp_count("_t", F.lit(SYMBOLS))).alias("n_symbols"),
-            count(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-            count(covered(F.col("_v"))).alias("n_repeat_words"),
-            count(F.size("_l")).alias("n_lines"),
-            count(F.size("_bad")).alias("n_bad_lines"),
-            count(F.size(words(F.array_join("_bad", " ")))).alias("n_bad_words"),
-            F.when(F.size("_bad") == 0, F.col("_t")).otherwise(F.array_join(F.filter(F.split("_t", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n")).alias("clean"),
-        ),
+    # each step is fenced, so that what it makes is computed once however often the next ones read it
+    one = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    one = one.withColumns({"_w": once(words(F.col("_t"))), "_l": once(F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
+    has_word = r"[^\x20\x09-\x0D]"
+    one = one.withColumns({
+        "_v": once(repeat_words(F.col("_w"))),
+        "_c": F.length(F.array_join("_w", "")),
+        "_n": F.size("_w"),
+        "_bad": once(F.filter("_l", line_fails)),
+        "_d": F.size("_l") - F.size(F.array_distinct("_l")),
+        "_m": F.size("_l"),
+    }).drop("_w", "_l")
+    one = one.withColumns({"_r": once(covered(F.col("_v"))), "_b": once(F.size(words(F.array_join("_bad", " "))))}).drop("_v")
+    failed = (F.col("_n") < 10) | (100 * F.col("_r") > 20 * F.col("_n"))
+    clean = F.array_join(F.filter(F.split("_t", "\n"), lambda x: ~(x.rlike(has_word) & line_fails(x))), "\n")
+    result = F.struct(
+        count(F.col("_n")).alias("n_words"),
+        count(F.col("_c")).alias("word_chars"),
+        count(F.regexp_count("_t", F.lit(SYMBOLS))).alias("n_symbols"),
+        count(F.col("_d")).alias("n_dup_lines"),
+        count(F.col("_r")).alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        (~failed & (F.col("_b") <= max_loss * F.col("_n"))).alias("kept"),
+        count(F.col("_m")).alias("n_lines"),
+        count(F.size("_bad")).alias("n_bad_lines"),
+        count(F.col("_b")).alias("n_bad_words"),
+        F.when(F.size("_bad") == 0, F.col("_t")).otherwise(clean).alias("clean"),
     )
-    q = F.col("_q")
-    failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
-    kept = ~failed & (q["n_bad_words"] <= max_loss * q["n_words"])
-    return one.withColumn("_q", once(q.withField("base_failed", failed).withField("kept", kept))).drop("_t", "_w", "_l", "_v", "_bad")
+    return one.withColumn("_q", once(result)).drop("_t", "_bad", "_n", "_r", "_b", "_c", "_d", "_m")
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
