@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from sumiveil.llm.bpe_codec import op9_bpe_codec
+from sumiveil.llm.common import SPACE
 from sumiveil.llm.licenses import op5_licenses
 from sumiveil.llm.maxent import op3_maxent
 from sumiveil.llm.packing import op7_pack
-from sumiveil.llm.quality import op10_quality
+from sumiveil.llm.quality import BOILERPLATE, MAX_LOSS, NAVIGATION, SYMBOLS, op10_quality
 from sumiveil.llm.simhash import op6_simhash
 from sumiveil.llm.sketches import op1_fingerprints
 from sumiveil.llm.substrings import op8_substrings
@@ -25,4 +26,21 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+_QUALITY = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT r, doc_id, t, [x for x in regexp_split_to_array(t, '{SPACE}') if x <> ''] AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+    g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+    h AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g) WHERE c > 1),
+    n AS (SELECT r, sum(least(5, i - coalesce(p, i - 5))) AS n_repeat_words FROM h GROUP BY r),
+    x AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, unnest(l) AS x FROM w)),
+    b AS (SELECT r, count(*) AS n_bad_lines, sum(n) AS n_bad_words FROM x WHERE
+        len(regexp_extract_all(x, '[#*$%&|<>{{}}\\^~=_]')) * 10 > length(x) OR len(regexp_extract_all(x, '[!?]')) > greatest(2, n / 2)
+        OR (n >= 40 AND NOT regexp_matches(x, '[.!?;:,。！？]')) OR len(regexp_extract_all(x, '( \||\| | > | » | › | · )')) * 4 > n
+        OR (n <= 6 AND regexp_matches(x, '{NAVIGATION}')) OR (n <= 25 AND regexp_matches(x, '{BOILERPLATE}')) GROUP BY r),
+    q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(coalesce(n_bad_lines, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(n_bad_words, 0) AS BIGINT) AS n_bad_words FROM w LEFT JOIN n USING (r) LEFT JOIN b USING (r))
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_bad_words <= {MAX_LOSS} * n_words AS kept FROM q"""
+
+ORACLE_SQL: dict[str, str] = {"op10_quality": _QUALITY}
