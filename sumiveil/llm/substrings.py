@@ -1,8 +1,9 @@
 """Substring dedup by hashing the pieces of lines.
 
-A text is cut at its line breaks and, within a line, after every word whose hash says so, so that a
-passage pasted into the middle of a paragraph falls into the same units as it does elsewhere; whole
-lines and paragraphs alone would miss it.  Units are normalised (case, white space, punctuation at
+A text is cut at its line breaks and, within a line, after every word whose hash is the least of the
+``REACH`` words on either side, so that a passage pasted into the middle of a paragraph falls into
+the same units as it does elsewhere; whole lines and paragraphs alone would miss it.  Within a line
+units have over ``REACH`` words but for the last, so that few are alike by chance.  Units are normalised (case, white space, punctuation at
 word ends), their digests are grouped globally, and each keeps its earliest occurrence, by doc_id
 and place.  Runs of later occurrences of at least ``min_words`` words are removed, with the offsets
 they had in the original text.
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 
 from sumiveil.llm.common import read_table, slices, words_of
 
-EVERY = 8
-MIN_WORDS = 8
+REACH = 4
+MIN_WORDS = 10
 EDGE = ".,;:!?()[]{}\"'«»¡¿…*_-"
 _STEP = 0x9E3779B97F4A7C15
 TOKENS = re.compile(r"\n|[^\x20\x09-\x0D]+")
 
 
 
-def units(texts: pa.Array, every: int = EVERY) -> dict[str, np.ndarray]:
+def units(texts: pa.Array, reach: int = REACH) -> dict[str, np.ndarray]:
     """The units of each text: row, first token, end token, words and digest.
 
     Tokens are words and line breaks, in the order in which ``TOKENS`` finds them.
@@ -44,7 +45,14 @@ def units(texts: pa.Array, every: int = EVERY) -> dict[str, np.ndarray]:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower().strip(EDGE)) for w in words), np.uint64, len(words))
     line = np.fromiter((w == "\x00" for w in words), bool, len(words))[codes]
     word = hashes[codes]
-    cut = line | (word % np.uint64(every) == 0)
+    whole = np.cumsum(line)  # a line's number, new with every text
+    whole += 2 * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * (whole[-1] + 1)
+    least = ~line
+    for k in range(1, reach + 1):
+        same = whole[k:] == whole[:-k]
+        least[k:] &= ~(same & (word[:-k] <= word[k:]) & ~line[:-k])
+        least[:-k] &= ~(same & (word[k:] < word[:-k]))
+    cut = line | least
     begins = np.zeros(n, bool)
     begins[1:] = cut[:-1]
     begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
@@ -52,7 +60,9 @@ def units(texts: pa.Array, every: int = EVERY) -> dict[str, np.ndarray]:
     first = np.flatnonzero(begins)
     size = np.diff(np.append(first, n))
     place = np.arange(n) - np.repeat(first, size)
-    powers = np.cumprod(np.concatenate([[1], np.full(int(size.max()), _STEP, np.uint64)]).astype(np.uint64))
+    powers = np.full(int(size.max()), _STEP, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
     digest = np.add.reduceat(word * powers[place], first) * np.uint64(0xFF51AFD7ED558CCD) + size.astype(np.uint64)
     real = ~line[first]
     row = np.searchsorted(offsets, first, "right") - 1
@@ -77,13 +87,13 @@ def later_spans(text: str, own: dict[str, np.ndarray], a: int, b: int, later: np
     return spans
 
 
-def unit_digests(docs: DataFrame, *, rank: str, text: str, every: int = EVERY) -> DataFrame:
+def unit_digests(docs: DataFrame, *, rank: str, text: str, reach: int = REACH) -> DataFrame:
     """digest and rank of each text's units, each once per text."""
 
     def digests(batches):
         for batch in batches:
             for at, some in slices(batch.column(1)):
-                own = units(some, every)
+                own = units(some, reach)
                 order = np.lexsort((own["digest"], own["row"]))
                 row, digest = own["row"][order], own["digest"][order]
                 new = np.ones(len(row), bool)
@@ -93,7 +103,7 @@ def unit_digests(docs: DataFrame, *, rank: str, text: str, every: int = EVERY) -
     return docs.select(F.col(rank).alias("rank"), F.col(text).alias("text")).mapInArrow(digests, "digest long, rank long")
 
 
-def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", every: int = EVERY, min_words: int = MIN_WORDS) -> DataFrame:
+def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with a column ``_dedup``: struct of the cleaned text and the removed spans.
 
     Spans are (start, end) in code points of the original text.  A unit's earliest occurrence is the
@@ -102,7 +112,7 @@ def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: st
     texts; a text of which all goes stays as an empty one.  An empty table gives no rows.
     """
     ranked = docs.withColumn("_rank", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
-    found = unit_digests(ranked, rank="_rank", text=text, every=every)
+    found = unit_digests(ranked, rank="_rank", text=text, reach=reach)
     earliest = found.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("digest", "least")
     # what a text has to lose, by the rank of its document
     later = found.join(earliest, "digest").where("rank > least").groupBy("rank").agg(F.collect_set("digest").alias("_later"))
@@ -111,7 +121,7 @@ def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: st
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out, gone = [], []
         for at, some in slices(texts):
-            own = units(some, every)
+            own = units(some, reach)
             bound = np.searchsorted(own["row"], np.arange(len(some) + 1))
             for k, t in enumerate(some.to_pylist()):
                 a, b = int(bound[k]), int(bound[k + 1])
@@ -133,9 +143,9 @@ def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: st
     return joined.withColumn("_dedup", cut(F.col(text), F.col("_later"))).drop("_rank", "_later")
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", every: int = EVERY, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (cleaned), removed (spans in the original) and n_removed (code points) of every row."""
-    out = with_substrings_removed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), every=every, min_words=min_words)
+    out = with_substrings_removed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), reach=reach, min_words=min_words)
     spans = F.col("_dedup.removed")
     return out.select("doc_id", F.col("_dedup.text").alias("text"), spans.alias("removed"), F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"))
 

@@ -10,7 +10,7 @@ import xxhash
 from sumiveil.llm import sketches as S
 from sumiveil.llm.components import connected_components
 from sumiveil.llm.simhash import fingerprints, near_duplicates, one_of_each, op6_simhash
-from sumiveil.llm.substrings import dedup_substrings
+from sumiveil.llm.substrings import TOKENS, dedup_substrings, units
 
 from .conftest import AWKWARD
 
@@ -148,6 +148,17 @@ def test_repeated_passages_go(spark):
     assert got[6]["n_removed"] >= 1.5 * len(PASSAGE)
 
 
+def test_units_are_told_apart_by_every_word():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 40))) + rng.choice(["", "\n", "\n\nx y"]) for _ in range(400)]
+    own = units(pa.array(texts, pa.large_string()))
+    seen = {}
+    for row, first, end, digest in zip(own["row"], own["first"], own["end"], own["digest"]):
+        unit = tuple([m.group() for m in TOKENS.finditer(texts[row])][first:end])
+        assert "\n" not in unit and seen.setdefault(int(digest), unit) == unit
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
 def test_whole_lines_and_lone_short_ones(spark):
     line = "this very line of ten words stands in two texts"
     rows = [(1, f"{line}\nyes"), (2, f"no\n{line}\nyes"), (3, "yes")]
