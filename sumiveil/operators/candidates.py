@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumiveil.functions import patterns as P
 from sumiveil.functions.spans import overlap
-from sumiveil.functions.text import _c, has_letter, is_file_extension, is_single_kanji, let, strip_all_whitespace, strip_set, trim
+from sumiveil.functions.text import _c, has_letter, is_file_extension, is_single_kanji, strip_all_whitespace, strip_set, trim
 from sumiveil.operators.detection import protected_spans
 
 DELIMITER = "[" + "".join("\\" + c if c in "[]()*/" else c for c in P.ORG_DELIMITERS) + "]"

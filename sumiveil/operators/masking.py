@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumiveil.functions import patterns as P
+from sumiveil.functions.finder import Finder
 from sumiveil.functions.numbering import dense_numbers
 from sumiveil.functions.spans import first_taken, matches, splice
 from sumiveil.functions.text import _c
@@ -18,36 +19,46 @@ TERMS_PER_BLOCK = 100_000
 HIT = "struct<begin:int,end:int,stage:int,kind:string,value:string,term:string,rank:long>"
 
 
-def _matcher(terms: list[tuple[int, str, str, bool]]):
-    """An Arrow UDF: places of every term in a text, as (ord, begin, end)."""
-    prepared = [(o, t, "".join(t.translate({ord(c): None for c in P.NARROW_SPACE})), w) for o, t, _, w in terms if t]
+_HIT_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("stage", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("rank", pa.int64())]))
 
-    @F.arrow_udf("array<struct<ord:long,begin:int,end:int>>")
+
+def _matcher(terms: list[tuple[int, str, str, bool]]):
+    """An Arrow UDF: hits of every term in a text, by rank, then place."""
+    terms = sorted((t for t in terms if t[1]), key=lambda t: (-len(t[1]), t[0]))
+    cores = ["".join(c for c in t if c not in P.NARROW_SPACE) for _, t, _, _ in terms]
+    loose = [k for k, c in enumerate(cores) if len(c) >= LOOSE_FROM]
+    exact = [k for k, c in enumerate(cores) if len(c) < LOOSE_FROM]
+    finders: list[Finder] = []
+
+    @F.arrow_udf(f"array<{HIT}>")
     def find(texts: pa.Array) -> pa.Array:
         import regex
 
         space = regex.compile(r"\s")
+        if not finders:
+            finders.extend((Finder([cores[k] for k in loose]), Finder([terms[k][1] for k in exact])))
         out = []
         for text in texts.to_pylist():
             text = text or ""
-            at = [i for i, c in enumerate(text) if not space.match(c)]
-            tight = "".join([text[i] for i in at])
-            found = []
-            for o, raw, core, whole in prepared:
-                loose = len(core) >= LOOSE_FROM
-                hay, needle = (tight, core) if loose else (text, raw)
-                p = hay.find(needle)
-                while p >= 0:
-                    b, e = (at[p], at[p + len(needle) - 1] + 1) if loose else (p, p + len(needle))
-                    if not whole or not ((b and is_word(text[b - 1])) or (e < len(text) and is_word(text[e]))):
-                        found.append({"ord": o, "begin": b, "end": e})
-                    p = hay.find(needle, p + len(needle))
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("ord", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])))
+            at = [i for i, c in enumerate(text) if not space.match(c)] if loose else []
+            found = [(loose[k], at[p], at[p + len(cores[loose[k]]) - 1] + 1) for k, p in finders[0].find("".join([text[i] for i in at]))]
+            found += [(exact[k], p, p + len(terms[exact[k]][1])) for k, p in finders[1].find(text)]
+            hits = []
+            for k, b, e in sorted(found):
+                o, term, kind, whole = terms[k]
+                if not whole or not touches_word(text, b, e):
+                    hits.append({"begin": b, "end": e, "stage": 3, "kind": P.TOKEN_PREFIX.get(kind, "MASKED"), "value": term, "term": term, "rank": ((1 << 20) - len(term)) * (1 << 32) + o})
+            out.append(hits)
+        return pa.array(out, _HIT_ARROW)
 
     return find
 
 
+def touches_word(text: str, begin: int, end: int) -> bool:
+    """Whether a word character stands directly before or after [begin, end)."""
+    return bool((begin and is_word(text[begin - 1])) or (end < len(text) and is_word(text[end])))
+
+
 # Ranges of code points that are no part of a word.
 NOT_WORD = ((0xA0, 0xBF), (0x2000, 0x206F), (0x2E00, 0x2E7F), (0x3000, 0x303F), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFFD, 0xFFFD))
 
@@ -72,21 +83,10 @@ def term_hits(text, terms: list[tuple[int, str, str, bool]]) -> Column:
 
     Terms of ``LOOSE_FROM`` characters or more match across white space; shorter ones exactly.
     """
-    parts = []
-    for a in range(0, len(terms), TERMS_PER_BLOCK):
-        block = terms[a : a + TERMS_PER_BLOCK]
-        known = F.create_map(*[x for o, t, k, _ in block for x in (F.lit(o).cast("long"), F.struct(F.lit(t).alias("t"), F.lit(P.TOKEN_PREFIX.get(k, "MASKED")).alias("k"), F.lit((1 << 20) - len(t)).alias("l")))])
-        parts.append(_ranked(_matcher(block)(_c(text)), known))
-    none = F.array().cast(f"array<{HIT}>")
-    return F.array_sort(F.concat(*parts), _by_rank) if parts else none
-
-
-def _ranked(found: Column, known: Column) -> Column:
-    def one(h):
-        t = F.element_at(known, h["ord"])
-        return F.struct(h["begin"].alias("begin"), h["end"].alias("end"), F.lit(3).alias("stage"), t["k"].alias("kind"), t["t"].alias("value"), t["t"].alias("term"), (t["l"].cast("long") * (1 << 32) + h["ord"]).alias("rank"))
-
-    return F.transform(found, one)
+    parts = [_matcher(terms[a : a + TERMS_PER_BLOCK])(_c(text)) for a in range(0, len(terms), TERMS_PER_BLOCK)]
+    if not parts:
+        return F.array().cast(f"array<{HIT}>")
+    return parts[0] if len(parts) == 1 else F.array_sort(F.concat(*parts), _by_rank)
 
 
 def _by_rank(a, b):
@@ -174,19 +174,17 @@ def _names(found: Column, given: list[str]) -> Column:
 
 
 def _literal(values: list[str], whole: bool):
+    finders: list[Finder] = []
+
     @F.arrow_udf("array<struct<ord:long,begin:int,end:int>>")
     def find(texts: pa.Array) -> pa.Array:
+        if not finders:
+            finders.append(Finder(values))
         out = []
         for text in texts.to_pylist():
-            found = []
-            for o, v in enumerate(values):
-                p = (text or "").find(v)
-                while p >= 0:
-                    e = p + len(v)
-                    if not whole or not ((p and is_word(text[p - 1])) or (e < len(text) and is_word(text[e]))):
-                        found.append({"ord": o, "begin": p, "end": e})
-                    p = text.find(v, e)
-            out.append(found)
+            text = text or ""
+            places = [(o, p, p + len(values[o])) for o, p in finders[0].find(text)]
+            out.append([{"ord": o, "begin": b, "end": e} for o, b, e in places if not whole or not touches_word(text, b, e)])
         return pa.array(out, pa.list_(pa.struct([("ord", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])))
 
     return find

@@ -185,3 +185,19 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["text"], r["leaks"]) for r in spark.table("masked").collect()] == [("{{EMAIL_1}} と c@d.co", ["c@d.co"])]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=4), min_size=20, max_size=30), st.text(alphabet="abc", max_size=40))
+def test_finders_agree(needles, text):
+    from sumiveil.functions.finder import Finder
+
+    few = Finder(needles)
+    few.automaton = None
+    assert Finder(needles).find(text) == sorted(few.find(text))
+
+
+def test_many_terms(spark):
+    terms = [(k, f"term{k:03d}x", "PERSON", False) for k in range(60)]
+    got = M.preview(docs(spark, "term007x te rm059x term7"), terms).collect()
+    assert [r["term"] for r in got] == ["term007x", "term059x"]
