@@ -91,7 +91,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     member = found.join(node, found.node == node.fp)
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = found.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("linked"))
-    component = node.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    # settled, so that the join below is one of two plain exchanges, of which Spark can split a crowded fingerprint
+    component = settle(node.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")))
     return marked.join(component, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
