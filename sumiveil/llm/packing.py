@@ -183,14 +183,17 @@ def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", c
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
-def rank_pieces(pieces: DataFrame, per_bucket: int = 50_000) -> DataFrame:
+def rank_pieces(pieces: DataFrame, counts: dict[int, int], per_bucket: int = 500) -> DataFrame:
     """Adds ``rank``: a number from 0 within each length, without gaps.
 
-    Ranks are counted within buckets of a length and shifted by the buckets before, so that a length
-    that many pieces share is spread over tasks; ``pieces`` must be settled.
+    Ranks are counted within buckets of a length and shifted by the buckets before.  A length has as
+    many buckets as its count (of ``counts``) asks for, so one that many pieces share is spread over
+    tasks; ``pieces`` must be settled.
     """
-    n = max(1, -(-pieces.count() // per_bucket))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    if not counts:
+        return pieces.withColumn("rank", F.lit(0).cast("long"))
+    buckets = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (int(s), -(-int(n) // per_bucket))])
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = pieces.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
@@ -223,7 +226,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacit
     """
     pieces = settle(cut_pieces(docs, doc_id=doc_id, text=text, capacity=capacity, vocabulary=vocabulary, end_id=end_id))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    return place(rank_pieces(pieces), plan_packing(counts, capacity))
+    return place(rank_pieces(pieces, counts), plan_packing(counts, capacity))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
