@@ -116,17 +116,17 @@ def sketches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     return docs.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text)).alias("x")).select("doc_id", F.col("x.f").alias("fingerprint"), F.col("x.n").alias("n_shingles"))
 
 
-def with_next(docs: DataFrame, each, schema: str, *, doc_id: str = "doc_id", text: str = "text", rows_per_part: int = 5_000) -> DataFrame:
+def with_next(docs: DataFrame, each, schema: str, *, doc_id: str = "doc_id", text: str = "text", rows_per_part: int = 5_000, max_parts: int = 20_000) -> DataFrame:
     """Apply ``each`` to every document together with the next one in ascending (doc_id, text).
 
     ``each(ids, texts)`` gets runs of documents, the last only as successor of the one before, and
     yields record batches.  After the last document comes the first; null ids come first of all.
     Documents are dealt into ranges of doc_id once, each range with a copy of the first document of
-    the range after it; only the ranges' bounds reach the driver.
+    the range after it; only the ranges' bounds, ``max_parts`` at most, reach the driver.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.count("doc_id").alias("known")).first()
-    parts = max(1, -(-ids["n"] // rows_per_part))
+    parts = max(1, min(max_parts, -(-ids["n"] // rows_per_part)))
     bounds = np.zeros(0, np.int64)
     if parts > 1 and ids["known"]:
         cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts + 1000).alias("c")).first()["c"]
