@@ -22,10 +22,11 @@ HIT = "struct<begin:int,end:int,stage:int,kind:string,value:string,term:string,r
 _HIT_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("stage", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("rank", pa.int64())]))
 
 
-def _matcher(terms: list[tuple[int, str, str, bool]]):
-    """An Arrow UDF: hits of every term in a text, by rank, then place."""
+def _matcher(terms: list[tuple]):
+    """An Arrow UDF: hits of every term in a text, by rank, then place; an alias is masked under its canonical text."""
     terms = sorted((t for t in terms if t[1]), key=lambda t: (-len(t[1]), t[0]))
-    cores = ["".join(c for c in t if c not in P.NARROW_SPACE) for _, t, _, _ in terms]
+    cores = ["".join(c for c in t[1] if c not in P.NARROW_SPACE) for t in terms]
+    shown = [t[4] if len(t) > 4 and t[4] else t[1] for t in terms]
     loose = [k for k, c in enumerate(cores) if len(c) >= LOOSE_FROM]
     exact = [k for k, c in enumerate(cores) if len(c) < LOOSE_FROM]
     finders: list[Finder] = []
@@ -45,9 +46,9 @@ def _matcher(terms: list[tuple[int, str, str, bool]]):
             found += [(exact[k], p, p + len(terms[exact[k]][1])) for k, p in finders[1].find(text)]
             hits = []
             for k, b, e in sorted(found):
-                o, term, kind, whole = terms[k]
+                o, term, kind, whole = terms[k][:4]
                 if not whole or not touches_word(text, b, e):
-                    hits.append({"begin": b, "end": e, "stage": 3, "kind": P.TOKEN_PREFIX.get(kind, "MASKED"), "value": term, "term": term, "rank": ((1 << 20) - len(term)) * (1 << 32) + o})
+                    hits.append({"begin": b, "end": e, "stage": 3, "kind": P.TOKEN_PREFIX.get(kind, "MASKED"), "value": shown[k], "term": shown[k], "rank": ((1 << 20) - len(term)) * (1 << 32) + o})
             out.append(hits)
         return pa.array(out, _HIT_ARROW)
 
@@ -78,8 +79,8 @@ def _number_hit(stage: int, kind: str):
     return lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), s["value"].alias("value"), F.lit("").alias("term"), F.lit(0).cast("long").alias("rank"))
 
 
-def term_hits(text, terms: list[tuple[int, str, str, bool]]) -> Column:
-    """Hits of confirmed terms (ord, text, entity type, whole word), longest term first, then by list order.
+def term_hits(text, terms: list[tuple]) -> Column:
+    """Hits of confirmed terms (ord, text, entity type, whole word and, for a reading, the name it stands for), longest term first, then by list order.
 
     Terms of ``LOOSE_FROM`` characters or more match across white space; shorter ones exactly.
     """
@@ -93,7 +94,7 @@ def _by_rank(a, b):
     return F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).when(a["begin"] < b["begin"], -1).when(a["begin"] > b["begin"], 1).otherwise(0)
 
 
-def mask_hits(text, terms: list[tuple[int, str, str, bool]] = ()) -> Column:
+def mask_hits(text, terms: list[tuple] = ()) -> Column:
     """What is masked in a text, by place: numbers first, then terms; nothing overlaps."""
     return first_taken(F.concat(number_hits(text).cast(f"array<{HIT}>"), term_hits(text, list(terms)).cast(f"array<{HIT}>")), HIT)
 

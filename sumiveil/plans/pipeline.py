@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sumiveil.operators.candidates import document_candidates, in_order, merge_candidates
 from sumiveil.operators.detection import merge_spans, pattern_spans
 from sumiveil.operators.masking import gate, mask
+from sumiveil.operators.providers import reading_terms
 
 
 def detect(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,4 +28,18 @@ def detect(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = Non
 def mask_checked(docs: DataFrame, terms=(), *, reversible: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text and leaks; mapping).  Texts are given whatever the gate says: the caller decides."""
     out, mapping = mask(docs, terms, reversible=reversible)
-    return out.withColumn("leaks", gate("text", [t for _, t, _, _ in terms])), mapping
+    return out.withColumn("leaks", gate("text", [t[1] for t in terms if len(t) < 5])), mapping
+
+
+def with_readings(terms: list[tuple], aliases: DataFrame) -> list[tuple]:
+    """Confirmed terms and the readings of their people, which share the names' tokens.
+
+    ``aliases`` has alias and canonical, as :func:`reading_terms` gives them; both lists are of a size that a person has reviewed.
+    """
+    known = {t[1] for t in terms}
+    first = 1 + max((t[0] for t in terms), default=-1)
+    rows = aliases.orderBy("canonical", "alias").collect()
+    return [*terms, *((first + k, r["alias"], "PERSON", False, r["canonical"]) for k, r in enumerate(rows) if r["alias"] not in known)]
+
+
+__all__ = ["detect", "mask_checked", "reading_terms", "with_readings"]

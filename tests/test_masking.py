@@ -201,3 +201,13 @@ def test_many_terms(spark):
     terms = [(k, f"term{k:03d}x", "PERSON", False) for k in range(60)]
     got = M.preview(docs(spark, "term007x te rm059x term7"), terms).collect()
     assert [r["term"] for r in got] == ["term007x", "term059x"]
+
+
+def test_readings_share_the_token_of_their_name(spark):
+    from sumiveil.plans.pipeline import with_readings
+
+    aliases = spark.createDataFrame([("ヤマダタロウ", "山田太郎")], "alias string, canonical string")
+    given_docs = docs(spark, "山田太郎とヤマダ タロウ")
+    out, mapping = M.mask(given_docs, with_readings([(0, "山田太郎", "PERSON", False)], aliases))
+    assert out.first()["text"] == "{{PERSON_1}}と{{PERSON_1}}" and [r["value"] for r in mapping.collect()] == ["山田太郎"]
+    assert M.restore(out, mapping).first()["text"] == "山田太郎と山田太郎"
