@@ -64,15 +64,15 @@ def covered(windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """``docs`` with a struct column ``_q``: the base counts, the lines' verdict and the cleaned text.
+    """``docs``, null texts made empty, with a struct column ``_q``: the base counts, the lines' verdict and the cleaned text.
 
     The exact 64-bit window hashes of one document are compared with each other only, so a clash
     among its n windows has a chance of n*n / 2**65.
     """
     count = lambda c: c.cast("long")
     # each step is fenced, so that what it makes is computed once however often the next ones read it
-    one = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    one = one.withColumns({"_w": once(words(F.col("_t"))), "_l": once(F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
+    one = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    one = one.withColumns({"_w": once(words(F.col(text))), "_l": once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
     has_word = r"[^\x20\x09-\x0D]"
     one = one.withColumns({
         "_v": once(repeat_words(F.col("_w"))),
@@ -84,11 +84,11 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
     }).drop("_w", "_l")
     one = one.withColumns({"_r": once(covered(F.col("_v"))), "_b": once(F.size(words(F.array_join("_bad", " "))))}).drop("_v")
     failed = (F.col("_n") < 10) | (100 * F.col("_r") > 20 * F.col("_n"))
-    clean = F.array_join(F.filter(F.split("_t", "\n"), lambda x: ~(x.rlike(has_word) & line_fails(x))), "\n")
+    clean = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(has_word) & line_fails(x))), "\n")
     result = F.struct(
         count(F.col("_n")).alias("n_words"),
         count(F.col("_c")).alias("word_chars"),
-        count(F.regexp_count("_t", F.lit(SYMBOLS))).alias("n_symbols"),
+        count(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
         count(F.col("_d")).alias("n_dup_lines"),
         count(F.col("_r")).alias("n_repeat_words"),
         failed.alias("base_failed"),
@@ -96,9 +96,9 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
         count(F.col("_m")).alias("n_lines"),
         count(F.size("_bad")).alias("n_bad_lines"),
         count(F.col("_b")).alias("n_bad_words"),
-        F.when(F.size("_bad") == 0, F.col("_t")).otherwise(clean).alias("clean"),
+        F.when(F.size("_bad") == 0, F.col(text)).otherwise(clean).alias("clean"),
     )
-    return one.withColumn("_q", once(result)).drop("_t", "_bad", "_n", "_r", "_b", "_c", "_d", "_m")
+    return one.withColumn("_q", once(result)).drop("_bad", "_n", "_r", "_b", "_c", "_d", "_m")
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
