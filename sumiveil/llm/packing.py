@@ -158,14 +158,14 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``."""
+    """The pieces of every document: its ids (by the library's merges) and ``end_id``, cut only where longer than ``capacity``."""
     path = vocabulary or default_path()
 
     def cut(batches):
         bpe, last = loaded(path), np.array([end_id], np.uint32)
         for batch in batches:
-            for at, some in slices(batch.column(1)):
-                codes, offsets, ids, lengths = bpe.encode(some)
+            for at, some in slices(batch.column(1), 3_000_000):
+                codes, offsets, ids, lengths = bpe.encode(some, by_library=True)
                 store = np.frombuffer(b"".join(ids), np.uint16)
                 flat = store[gather_runs((np.cumsum(lengths) - lengths)[codes], lengths[codes])].astype("<u4")
                 own = row_sums(lengths[codes], offsets)

@@ -44,7 +44,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """One vocabulary, its merges and the caches of a worker."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 250_000, cache_parts: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -65,7 +65,8 @@ class WordBpe:
         self.last = [vocab[c + self.end] for c in stand]
         self.letter_byte = {c: b for b, c in enumerate(stand)}
         self.library = Tokenizer.from_file(path)
-        self.cache_words = cache_words
+        self.cache_words, self.cache_parts = cache_words, cache_parts
+        self.stand = stand
         self._caches: dict[Callable, tuple[dict, dict]] = {}
 
     def symbols(self, part: bytes) -> list[int]:
@@ -156,8 +157,12 @@ class WordBpe:
                 n += k
         return n
 
-    def ids_word(self, word: str, parts: dict) -> bytes:
-        """The ids of a word, as native unsigned 16-bit numbers."""
+    def library_part(self, part: bytes) -> list[int]:
+        """Ids of a pre-token by the library's own merges, for operators that name no method of their own."""
+        stand = self.stand
+        return [t.id for t in self.library.model.tokenize("".join([stand[b] for b in part]))]
+
+    def _ids(self, word: str, parts: dict, merge: Callable) -> bytes:
         out = b""
         for piece in self._split(word):
             if piece in self.special:
@@ -165,10 +170,17 @@ class WordBpe:
                 continue
             for p in self.parts(piece):
                 if (ids := parts.get(p)) is None:
-                    ids = parts[p] = array("H", self.ids_part(p)).tobytes()
+                    ids = parts[p] = array("H", merge(p)).tobytes()
                 out += ids
         return out
 
+    def ids_word(self, word: str, parts: dict) -> bytes:
+        """The ids of a word by the rank array, as native unsigned 16-bit numbers."""
+        return self._ids(word, parts, self.ids_part)
+
+    def library_word(self, word: str, parts: dict) -> bytes:
+        return self._ids(word, parts, self.library_part)
+
     def digest_word(self, word: str, parts: dict) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids in decimal, and their tokens, each joined by blanks."""
         ids = np.frombuffer(self.ids_word(word, parts), np.uint16).tolist()
@@ -177,12 +189,12 @@ class WordBpe:
     def lookup(self, words: pa.Array, one: Callable) -> list:
         """``one`` of every distinct word, from the worker's cache where it is there.
 
-        The caches are emptied, not grown, beyond ``cache_words`` entries.
+        The caches are emptied, not grown, beyond ``cache_words`` and ``cache_parts`` entries.
         """
         known, parts = self._caches.setdefault(one.__func__, ({}, {}))
         if len(known) > self.cache_words:
             known.clear()
-        if len(parts) > self.cache_words:
+        if len(parts) > self.cache_parts:
             parts.clear()
         out = []
         for w in words.to_pylist():
@@ -191,10 +203,10 @@ class WordBpe:
             out.append(r)
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    def encode(self, texts: pa.Array, by_library: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Word codes, row offsets, each distinct word's ids (16-bit) and number of ids."""
         codes, offsets, words = words_of(texts)
-        ids = self.lookup(words, self.ids_word)
+        ids = self.lookup(words, self.library_word if by_library else self.ids_word)
         return codes, offsets, ids, np.fromiter(map(len, ids), np.int64, len(ids)) // 2
 
 
