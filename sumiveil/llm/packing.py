@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import gather_runs, read_table, row_sums, settle, slices
+from sumiveil.llm.common import gather_runs, read_table, release, row_sums, settle, slices
 from sumiveil.llm.word_bpe import default_path, loaded
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -179,6 +179,7 @@ def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", c
                             x.append(v)
                 k, piece, start, length, crc = rows
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)).take(pa.array(k)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
