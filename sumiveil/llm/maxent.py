@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import read_table, row_sums, settle, slices, words_of
+from sumiveil.llm.common import read_table, release, row_sums, settle, slices, words_of
 
 HEAD_CLASSES, SLOTS, RARE = 20, 64, 12
 CLASSES = HEAD_CLASSES + RARE
@@ -248,6 +248,7 @@ def _trainer(now):
                     codes, offsets, hashes = tokens(some)
                     symbol, _ = model.look_up(codes, hashes)
                     model.train(symbol, *model.history(symbol, offsets), squares)
+                release()
             change, used = model.weights - first, np.concatenate([squares[0].reshape(-1, 2).sum(axis=1), squares[1]])
         finally:
             model.weights = first  # the worker may take another task
@@ -309,6 +310,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
         columns = [np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts) if parts else [()] * 4)]
         ends = pa.array(ends, pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0), kind)) for x, kind in ((hashes, pa.int64()), (times, pa.int32()))]
+        release()
         return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] + lists, [x.split()[0] for x in HEADED.split(", ")])
 
     scored = settle(docs.select(F.struct(*[c.alias(k) for k, c in keep.items()]).alias("kept"), head(F.col(text)).alias("h"))).withColumn("row", F.monotonically_increasing_id())
