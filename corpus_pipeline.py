@@ -36,8 +36,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return one_of_each(docs).select(COLUMNS)
+    """One document of each component of near-duplicates: fingerprints at most two bits apart, or five-word shingles at least 0.8 alike."""
+    return one_of_each(docs, alike=True).select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

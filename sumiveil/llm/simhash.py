@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sumiveil.llm.common import doc_key, gather_runs, read_table, settle, slices
 from sumiveil.llm.components import connected_components
+from sumiveil.llm.likeness import like_links, marks, with_text
 
 SEGMENTS = ((0, 32), (32, 64))
 
@@ -75,7 +76,7 @@ def near_links(distinct: DataFrame, value: str = "fp") -> DataFrame:
     return stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, alike: bool = False) -> DataFrame:
     """doc_id, key, fp, root (longs) and component_id of every row: fingerprints at most two bits apart are linked.
 
     component_id is the least doc_id reachable, the row's own included; root names the component
@@ -83,11 +84,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts have fingerprint 0 and are linked like any other; rows that repeat stay apart as rows, in
     one component.  A null doc_id is kept and is least only where a component has no other.  An
     empty table gives no rows; other columns are not looked at.  Copies share a fingerprint and are
-    collapsed before any linking.
+    collapsed before any linking.  With ``alike``, texts whose five-word shingles have a Jaccard
+    similarity of 0.8 or more are linked as well, however far apart their fingerprints are.
     """
-    marked = settle(docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("key"), fingerprint(F.col(text), shingle).alias("fp")))
+    extra = [marks(F.col(text)).alias("like")] if alike else []
+    marked = settle(docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("key"), fingerprint(F.col(text), shingle).alias("fp"), *extra))
     node = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = connected_components(near_links(node))
+    links = near_links(node)
+    found = connected_components(like_links(marked, with_text(docs, doc_id, text), links) if alike else links)
     member = found.join(node, found.node == node.fp)
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = found.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("linked"))
@@ -96,9 +100,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return marked.join(component, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alike: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document of least doc_id (null ids last), once."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
+    found = near_duplicates(docs, doc_id=doc_id, text=text, alike=alike)
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("x")).select(F.col("x.k").alias("_key"))
     return docs.withColumn("_key", doc_key(doc_id, text)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
