@@ -6,7 +6,9 @@ the same units as it does elsewhere; whole lines and paragraphs alone would miss
 units have over ``REACH`` words but for the last, so that few are alike by chance.  Units are normalised (case, white space, punctuation at
 word ends), their digests are grouped globally, and each keeps its earliest occurrence, by doc_id
 and place.  Runs of later occurrences of at least ``min_words`` words are removed, with the offsets
-they had in the original text.
+they had in the original text.  Shorter lines have digests of their own: a whole line that an earlier
+text (or this one, before) has as a whole line goes whatever its length, unless it is all of a text
+that has no line break.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ REACH = 4
 MIN_WORDS = 10
 EDGE = ".,;:!?()[]{}\"'«»¡¿…*_-"
 _STEP = 0x9E3779B97F4A7C15
+_LINE = 0xD6E8FEB86659FD93
 TOKENS = re.compile(r"\n|[^\x20\x09-\x0D]+")
 
 
@@ -40,7 +43,7 @@ def units(texts: pa.Array, reach: int = REACH) -> dict[str, np.ndarray]:
     n = len(codes)
     none = np.zeros(0, np.int64)
     if not n:
-        return {"row": none, "first": none, "end": none, "words": none, "digest": none}
+        return {"row": none, "first": none, "end": none, "words": none, "digest": none, "line": none, "broken": none}
     words = vocabulary.to_pylist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower().strip(EDGE)) for w in words), np.uint64, len(words))
     line = np.fromiter((w == "\x00" for w in words), bool, len(words))[codes]
@@ -68,18 +71,38 @@ def units(texts: pa.Array, reach: int = REACH) -> dict[str, np.ndarray]:
     row = np.searchsorted(offsets, first, "right") - 1
     first, size, row = first[real], size[real], row[real]
     start = first - offsets[row]
-    return {"row": row, "first": start, "end": start + size, "words": size, "digest": digest[real].view(np.int64)}
+    return {"row": row, "first": start, "end": start + size, "words": size, "digest": digest[real].view(np.int64), "line": whole[offsets[row] + start], "broken": np.add.reduceat(np.append(line, False), offsets[:-1])[row]}
 
 
-def later_spans(text: str, own: dict[str, np.ndarray], a: int, b: int, later: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Code-point spans of the runs of flagged units of one text; a line that goes whole takes its break along."""
-    spans, tokens = [], None
-    at = np.flatnonzero(later[a:b]) + a
+def short_lines(own: dict[str, np.ndarray], min_words: int) -> dict[str, np.ndarray]:
+    """The lines of under ``min_words`` words: row, first unit, end unit, digest and the breaks of their texts."""
+    n = len(own["row"])
+    if not n:
+        return {k: np.zeros(0, np.int64) for k in ("row", "first", "end", "digest", "broken")}
+    new = np.ones(n, bool)
+    new[1:] = (own["line"][1:] != own["line"][:-1]) | (own["row"][1:] != own["row"][:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    powers = np.cumprod(np.full(int(size.max()), _STEP, np.uint64))
+    place = np.arange(n) - np.repeat(first, size)
+    digest = np.add.reduceat((own["digest"].view(np.uint64) ^ np.uint64(_LINE)) * powers[place], first) ^ size.astype(np.uint64)
+    short = np.add.reduceat(own["words"], first) < min_words
+    first, size, digest = first[short], size[short], digest[short]
+    return {"row": own["row"][first], "first": first, "end": first + size, "digest": digest.view(np.int64), "broken": own["broken"][first]}
+
+
+def later_spans(text: str, own: dict[str, np.ndarray], later: np.ndarray, lines: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Code-point spans of the runs of flagged units of one text, and of ``lines`` (units of short lines that go); a line that goes whole takes its break along."""
+    at = np.flatnonzero(later)
+    goes = lines.copy()
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        if len(run) and int(own["words"][run].sum()) >= min_words:
+            goes[run] = True
+    if not goes.any():
+        return []
+    spans, tokens = [], [m.span() for m in TOKENS.finditer(text)]
+    at = np.flatnonzero(goes)
     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-        if not len(run) or int(own["words"][run].sum()) < min_words:
-            continue
-        if tokens is None:
-            tokens = [m.span() for m in TOKENS.finditer(text)]
         start, end = tokens[own["first"][run[0]]][0], tokens[own["end"][run[-1]] - 1][1]
         if (start == 0 or text[start - 1] == "\n") and text[end : end + 1] == "\n":
             end += 1
@@ -87,15 +110,24 @@ def later_spans(text: str, own: dict[str, np.ndarray], a: int, b: int, later: np
     return spans
 
 
-def unit_digests(docs: DataFrame, *, rank: str, text: str, reach: int = REACH) -> DataFrame:
-    """digest and rank of each text's units, each once per text."""
+def again(digest: np.ndarray, listed: np.ndarray | None) -> np.ndarray:
+    """Which digests of a text are later occurrences: those listed, and repeats in the text itself."""
+    out = np.ones(len(digest), bool)
+    out[np.unique(digest, return_index=True)[1]] = False
+    return out if listed is None else out | np.isin(digest, listed)
+
+
+def unit_digests(docs: DataFrame, *, rank: str, text: str, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+    """digest and rank of each text's units and short lines, each once per text."""
 
     def digests(batches):
         for batch in batches:
             for at, some in slices(batch.column(1)):
                 own = units(some, reach)
-                order = np.lexsort((own["digest"], own["row"]))
-                row, digest = own["row"][order], own["digest"][order]
+                lines = short_lines(own, min_words)
+                row, digest = (np.concatenate([own[c], lines[c]]) for c in ("row", "digest"))
+                order = np.lexsort((digest, row))
+                row, digest = row[order], digest[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[new]), batch.column(0).slice(at, len(some)).take(pa.array(row[new]))], names=["digest", "rank"])
@@ -112,7 +144,7 @@ def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: st
     texts; a text of which all goes stays as an empty one.  An empty table gives no rows.
     """
     ranked = docs.withColumn("_rank", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
-    found = unit_digests(ranked, rank="_rank", text=text, reach=reach)
+    found = unit_digests(ranked, rank="_rank", text=text, reach=reach, min_words=min_words)
     earliest = found.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("digest", "least")
     # what a text has to lose, by the rank of its document
     later = found.join(earliest, "digest").where("rank > least").groupBy("rank").agg(F.collect_set("digest").alias("_later"))
@@ -122,17 +154,18 @@ def with_substrings_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: st
         out, gone = [], []
         for at, some in slices(texts):
             own = units(some, reach)
-            bound = np.searchsorted(own["row"], np.arange(len(some) + 1))
+            short = short_lines(own, min_words)
+            bound, bounds = (np.searchsorted(x["row"], np.arange(len(some) + 1)) for x in (own, short))
             for k, t in enumerate(some.to_pylist()):
                 a, b = int(bound[k]), int(bound[k + 1])
-                digest = own["digest"][a:b]
-                flagged = np.ones(b - a, bool)
-                flagged[np.unique(digest, return_index=True)[1]] = False  # again in the same text
-                listed = lists[at + k]
-                if listed.is_valid:
-                    flagged |= np.isin(digest, listed.values.to_numpy())
-                whole = {"first": own["first"][a:b], "end": own["end"][a:b], "words": own["words"][a:b]}
-                spans = later_spans(t, whole, 0, b - a, flagged, min_words) if flagged.any() else []
+                line = slice(int(bounds[k]), int(bounds[k + 1]))
+                listed = lists[at + k].values.to_numpy() if lists[at + k].is_valid else None
+                flagged, gone_line = again(own["digest"][a:b], listed), again(short["digest"][line], listed)
+                lines = np.zeros(b - a, bool)
+                for first, end in zip(*(short[c][line][gone_line & (short["broken"][line] > 0)] - a for c in ("first", "end"))):
+                    lines[first:end] = True
+                whole = {c: own[c][a:b] for c in ("first", "end", "words")}
+                spans = later_spans(t, whole, flagged, lines, min_words) if flagged.any() or lines.any() else []
                 for start, end in reversed(spans):
                     t = t[:start] + t[end:]
                 out.append(t)
