@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,63 +53,67 @@ class Plan:
         self.fixed += n
 
 
+def best_pair(fits: list[int], room: int, has: Callable[..., bool]) -> tuple[int, int] | None:
+    """The two pieces (lesser, greater) that together fill most of ``room``."""
+    top, pair, hi = 0, None, len(fits) - 1
+    for lo in range(len(fits)):
+        while hi >= 0 and fits[lo] + fits[hi] > room:
+            hi -= 1
+        k = hi
+        while k >= lo and not (has(fits[lo]) and has(fits[k], fits[k] == fits[lo])):
+            k -= 1
+        if k >= lo and fits[lo] + fits[k] > top:
+            top, pair = fits[lo] + fits[k], (fits[lo], fits[k])
+    return pair
+
+
+def pair_dominates(pair: tuple[int, int], fits: list[int], room: int, has: Callable[..., bool]) -> bool:
+    """Whether every piece and every pair that fits can change places with ``pair``, piece by piece.
+
+    A pair (p, q), p >= q, is bettered by (greater, lesser) if p <= greater and q <= lesser, or if both
+    together are no longer than the greater piece.
+    """
+    lesser, greater = pair
+    if fits[-1] > greater:
+        return False
+    for q in fits[bisect.bisect_right(fits, lesser) :]:
+        at = bisect.bisect_right(fits, room - q) - 1
+        while at >= 0 and fits[at] >= q and not has(fits[at], fits[at] == q):
+            at -= 1
+        if at >= 0 and fits[at] >= q and fits[at] + q > greater:
+            return False
+    return True
+
+
 def dominating_sets(plan: Plan) -> None:
     """Martello-Toth reduction: fix each set of at most three pieces that provably dominates every other use of its largest piece.
 
-    For the largest piece: alone if nothing fits beside it; with a piece that fills it exactly; with
-    the largest that fits, if no two fit together or none of the fitting pairs is longer; with a pair
-    that fills it exactly, if no better pair can exist.  Pieces with none of these stay.
+    For each piece, longest first: alone if nothing fits beside it; with a piece that fills it
+    exactly; with the longest that fits, if no two fit together or no fitting pair is longer; with
+    the longest fitting pair, if no four pieces can share the sequence and the pair betters each
+    other piece and pair, piece by piece (``pair_dominates``).  A set that dominates can take the
+    place of whatever a best packing has beside the piece, so the remaining pieces need as many
+    sequences as before less the fixed ones.  Pieces with none of these stay.
     """
-    sizes = sorted(plan.left)
-    for big in reversed(sizes):
+    for big in reversed(sorted(plan.left)):
         while n := plan.left.get(big, 0):
             room = plan.capacity - big
             own = sorted(plan.left)
             has = lambda s, used=0: plan.left.get(s, 0) - (s == big) - used > 0
-            fits = own[: bisect.bisect_right(own, room)]
-            if big <= room and n == 1:
-                fits = [s for s in fits if s != big]
+            fits = [s for s in own[: bisect.bisect_right(own, room)] if has(s)]
             if not fits:
                 plan.fix([big], n)
                 continue
             best = fits[-1]
-            pair_n = n // 2 if best == big else min(n, plan.left[best])
-            if best == room:
-                if not pair_n:
-                    break
-                plan.fix([big, best], pair_n)
-                continue
-            least = fits[0]
-            second = least if has(least, 1) else (fits[1] if len(fits) > 1 else None)
-            if second is None or least + second > room:
-                if not pair_n:
+            least = [s for s in fits[:3] for k in range(3) if has(s, k)][:3]
+            pair = best_pair(fits, room, has)
+            if best == room or pair is None or best >= sum(pair):
+                if best < room and sum(least) <= room and len(least) == 3:
                     break
-                plan.fix([big, best], pair_n)
-                continue
-            third = least if has(least, 2) else second if has(second, 1 + (second == least)) else next((s for s in fits if s > second), None)
-            if third is not None and least + second + third <= room:
-                break  # four pieces could share the sequence: the rule says nothing
-            top, pair, hi = 0, None, len(fits) - 1
-            for lo in range(len(fits)):
-                while hi >= 0 and fits[lo] + fits[hi] > room:
-                    hi -= 1
-                k = hi
-                while k >= lo and not (has(fits[lo]) and has(fits[k], fits[k] == fits[lo])):
-                    k -= 1
-                if k >= lo and fits[lo] + fits[k] > top:
-                    top, pair = fits[lo] + fits[k], (fits[lo], fits[k])
-            if pair is None or best >= top:
-                if not pair_n:
-                    break
-                plan.fix([big, best], pair_n)
-            elif top == room and sum(1 for s in fits if pair[0] < s < pair[1]) == 0:
-                a, b = pair
-                m = min(n, plan.left[a] // 2) if a == b else min(n, plan.left[a], plan.left[b])
-                if big in pair:
-                    m = min(m, n // (1 + pair.count(big)))
-                if not m:
-                    break
-                plan.fix([big, a, b], m)
+                plan.fix([big, best], n // 2 if best == big else min(n, plan.left[best]))
+            elif not (len(least) == 3 and sum(least) <= room) and pair_dominates(pair, fits, room, has):
+                used = Counter([big, *pair])
+                plan.fix([big, *pair], min(plan.left[s] // k for s, k in used.items()))
             else:
                 break
 
@@ -150,11 +156,16 @@ def best_fit(plan: Plan) -> None:
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
-    """The plan for ``counts`` pieces of each length (1 to ``capacity``)."""
-    plan = Plan(capacity, {int(s): int(n) for s, n in counts.items() if n})
-    dominating_sets(plan)
-    best_fit(plan)
-    return plan
+    """The plan for ``counts`` pieces of each length (1 to ``capacity``).
+
+    The reduction costs no sequence, but best-fit on what it leaves could, by chance of order; so the
+    plan is never one that needs more than best-fit alone.
+    """
+    plans = [Plan(capacity, {int(s): int(n) for s, n in counts.items() if n}) for _ in range(2)]
+    dominating_sets(plans[0])
+    for plan in plans:
+        best_fit(plan)
+    return min(plans, key=lambda plan: plan.sequences)
 
 
 def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
@@ -184,21 +195,28 @@ def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", c
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
+#: Buckets of a length that are numbered in one go.
+GROUP = 4096
+
+
 def rank_pieces(pieces: DataFrame, counts: dict[int, int], per_bucket: int = 500) -> DataFrame:
     """Adds ``rank``: a number from 0 within each length, without gaps.
 
     Ranks are counted within buckets of a length and shifted by the buckets before.  A length has as
     many buckets as its count (of ``counts``) asks for, so one that many pieces share is spread over
-    tasks; ``pieces`` must be settled.
+    tasks, and the shifts are summed in groups of buckets for the same reason.  What is broadcast is
+    a row for each length, ``capacity`` at most; ``pieces`` must be settled.
     """
     if not counts:
         return pieces.withColumn("rank", F.lit(0).cast("long"))
-    buckets = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (int(s), -(-int(n) // per_bucket))])
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int"))))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = pieces.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    lengths = pieces.sparkSession.createDataFrame([(int(s), -(-int(n) // per_bucket)) for s, n in counts.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
+    sizes = dealt.groupBy("length", "bucket").count().withColumn("group", F.floor(F.col("bucket") / GROUP))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("length", "group").agg(F.sum("count").alias("n")).select("length", "group", F.coalesce(F.sum("n").over(earlier("length").orderBy("group")), F.lit(0)).alias("base"))
+    shift = sizes.withColumn("own", F.coalesce(F.sum("count").over(earlier("length", "group").orderBy("bucket")), F.lit(0))).join(groups, ["length", "group"]).select("length", "bucket", (F.col("own") + F.col("base")).alias("shift"))
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return pieces.withColumn("own", F.row_number().over(local) - 1).join(shift, ["length", "bucket"]).withColumn("rank", (F.col("own") + F.col("shift")).cast("long")).drop("own", "shift", "bucket")
+    return dealt.withColumn("own", F.row_number().over(local) - 1).join(shift, ["length", "bucket"]).withColumn("rank", (F.col("own") + F.col("shift")).cast("long")).drop("own", "shift", "bucket")
 
 
 def place(ranked: DataFrame, plan: Plan) -> DataFrame:

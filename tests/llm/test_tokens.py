@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,16 +115,41 @@ def fewest(items, capacity):
     return best
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 12), max_size=9))
-def test_reduction_never_costs_a_sequence(items):
+@settings(max_examples=400, deadline=None)
+@given(st.integers(8, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=10))))
+def test_reduction_never_costs_a_sequence(case):
     """What dominance fixes leaves an optimum: fixed sequences and the best for the rest are the best for all."""
     from sumiveil.llm.packing import Plan, dominating_sets
 
-    plan = Plan(12, {s: n for s, n in Counter(items).items()})
+    capacity, items = case
+    plan = Plan(capacity, {s: n for s, n in Counter(items).items()})
     dominating_sets(plan)
     rest = [s for s, n in plan.left.items() for _ in range(n)]
-    assert plan.fixed + fewest(rest, 12) == fewest(items, 12)
+    assert plan.fixed + fewest(rest, capacity) == fewest(items, capacity)
+
+
+def test_a_pair_that_only_fills_the_room_is_not_fixed():
+    from sumiveil.llm.packing import plan_packing
+
+    assert plan_packing(Counter([2038, 1045, 1041, 1000, 1000, 8, 7, 3, 1]), 2048).sequences == 3
+
+
+def test_reduced_plans_need_no_more_than_best_fit():
+    from sumiveil.llm.packing import Plan, best_fit, dominating_sets, plan_packing
+
+    rng, worse = random.Random(11), 0
+    for _ in range(3000):
+        capacity = rng.choice([30, 100, 2048])
+        counts = Counter(rng.randint(1, capacity if rng.random() < 0.6 else max(1, capacity // 3)) for _ in range(rng.randint(1, 40)))
+        alone, reduced = Plan(capacity, dict(counts)), Plan(capacity, dict(counts))
+        best_fit(alone)
+        dominating_sets(reduced)
+        best_fit(reduced)
+        worse += reduced.sequences > alone.sequences
+        plan = plan_packing(counts, capacity)
+        assert -(-sum(s * n for s, n in counts.items()) // capacity) <= plan.sequences <= alone.sequences
+        assert plan.rank == dict(counts) and not plan.left
+    assert worse <= 30
 
 
 def test_packing(small, awkward, nothing, bpe):
