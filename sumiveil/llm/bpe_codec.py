@@ -22,7 +22,7 @@ def encode_ids(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", v
         bpe, out = loaded(path), []
         for _, some in slices(texts):
             codes, offsets, ids, lengths = bpe.encode(some)
-            store = np.frombuffer(b"".join(ids), np.uint16)
+            store = np.frombuffer(b"".join(ids), bpe.kind)
             flat = store[gather_runs((np.cumsum(lengths) - lengths)[codes], lengths[codes])].astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(row_sums(lengths[codes], offsets))]).astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))

@@ -177,7 +177,7 @@ def cut_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", c
         for batch in batches:
             for at, some in slices(batch.column(1), 3_000_000):
                 codes, offsets, ids, lengths = bpe.encode(some, by_library=True)
-                store = np.frombuffer(b"".join(ids), np.uint16)
+                store = np.frombuffer(b"".join(ids), bpe.kind)
                 flat = store[gather_runs((np.cumsum(lengths) - lengths)[codes], lengths[codes])].astype("<u4")
                 own = row_sums(lengths[codes], offsets)
                 ends = np.cumsum(own)

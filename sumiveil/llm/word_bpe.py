@@ -19,6 +19,8 @@ import pyarrow as pa
 from sumiveil.llm.common import words_of
 
 NO_PAIR = 1 << 30
+#: The longest pre-token that is merged by scanning its rank array.
+SHORT = 512
 #: Latin-1 characters for which lower-casing and the word pattern are decided here; any other
 #: character sends its word through the library's own normaliser and splitter.
 PLAIN = re.compile("[!-~¡-¬®-ÿ]*")
@@ -61,6 +63,8 @@ class WordBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         stand = byte_letters()
+        #: Ids are kept in 16 bits where the vocabulary allows it.
+        self.kind = np.dtype(np.uint16 if max(self.tokens, default=0) < 1 << 16 else np.uint32)
         self.first = [vocab[c] for c in stand]
         self.last = [vocab[c + self.end] for c in stand]
         self.letter_byte = {c: b for b, c in enumerate(stand)}
@@ -83,11 +87,13 @@ class WordBpe:
     # -- heap and linked list -------------------------------------------------------------
 
     def count_part(self, part: bytes) -> int:
-        """Tokens of a pre-token: its symbols less the merges, popped lowest rank (then leftmost) first."""
+        """Tokens of a pre-token: its symbols less the merges."""
         symbol = self.symbols(part)
+        return len(symbol) - self.merge_by_heap(symbol)
+
+    def merge_by_heap(self, symbol: list[int]) -> int:
+        """The number of merges, popped lowest rank (then leftmost) first; in ``symbol`` a merged pair is its id and -1."""
         n = len(symbol)
-        if n < 2:
-            return n
         merges = self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -115,13 +121,20 @@ class WordBpe:
                 found = merges.get((symbol[h], new))
                 if found:
                     heapq.heappush(heap, (found[0], h, symbol[h], new, found[1]))
-        return n - done
+        return done
 
     # -- contiguous rank array ------------------------------------------------------------
 
     def ids_part(self, part: bytes) -> list[int]:
-        """Ids of a pre-token: the least rank of a flat array names the boundary to delete, again and again."""
+        """Ids of a pre-token: the least rank of a flat array names the boundary to delete, again and again.
+
+        Each scan is as long as the array, so beyond ``SHORT`` symbols the heap, which makes the same
+        merges in the same order, takes its place.
+        """
         ids = self.symbols(part)
+        if len(ids) > SHORT:
+            self.merge_by_heap(ids)
+            return [i for i in ids if i >= 0]
         merges = self.merges
         none = (NO_PAIR, -1)
         ranks = [merges.get(p, none) for p in zip(ids, ids[1:])]
@@ -166,16 +179,16 @@ class WordBpe:
         out = b""
         for piece in self._split(word):
             if piece in self.special:
-                out += array("H", [self.special[piece]]).tobytes()
+                out += self.kind.type(self.special[piece]).tobytes()
                 continue
             for p in self.parts(piece):
                 if (ids := parts.get(p)) is None:
-                    ids = parts[p] = array("H", merge(p)).tobytes()
+                    ids = parts[p] = array(self.kind.char, merge(p)).tobytes()
                 out += ids
         return out
 
     def ids_word(self, word: str, parts: dict) -> bytes:
-        """The ids of a word by the rank array, as native unsigned 16-bit numbers."""
+        """The ids of a word by the rank array, as native numbers of ``kind``."""
         return self._ids(word, parts, self.ids_part)
 
     def library_word(self, word: str, parts: dict) -> bytes:
@@ -183,7 +196,7 @@ class WordBpe:
 
     def digest_word(self, word: str, parts: dict) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids in decimal, and their tokens, each joined by blanks."""
-        ids = np.frombuffer(self.ids_word(word, parts), np.uint16).tolist()
+        ids = np.frombuffer(self.ids_word(word, parts), self.kind).tolist()
         return len(ids), " ".join(map(str, ids)).encode(), " ".join([self.tokens[i] for i in ids]).encode()
 
     def lookup(self, words: pa.Array, one: Callable) -> list:
@@ -204,10 +217,10 @@ class WordBpe:
         return out
 
     def encode(self, texts: pa.Array, by_library: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Word codes, row offsets, each distinct word's ids (16-bit) and number of ids."""
+        """Word codes, row offsets, each distinct word's ids (of ``kind``) and number of ids."""
         codes, offsets, words = words_of(texts)
         ids = self.lookup(words, self.library_word if by_library else self.ids_word)
-        return codes, offsets, ids, np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        return codes, offsets, ids, np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
 
 
 _LOADED: dict[str, WordBpe] = {}

@@ -183,3 +183,24 @@ def test_ranks_cross_buckets(small):
     for r in rank_pieces(pieces, counts, per_bucket=2).collect():
         ranks[r["length"]].append(r["rank"])
     assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+
+
+def test_long_parts(bpe):
+    import time
+
+    rng = random.Random(4)
+    long = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (511, 512, 513, 4000)] + ["-" * 700, "é" * 900, "日" * 600, "=" * 3000]
+    for word in long:
+        assert np.frombuffer(bpe.ids_word(word, {}), bpe.kind).tolist() == library_ids(bpe, word)
+        assert bpe.count_word(word, {}) == len(library_ids(bpe, word))
+    word, began = "".join(rng.choice("etaoinshr") for _ in range(100_000)), time.process_time()
+    n = len(bpe.ids_word(word, {}))
+    assert time.process_time() - began < 5 and n == bpe.count_word(word, {}) * bpe.kind.itemsize
+
+
+def test_wide_ids(bpe):
+    wide = WordBpe(default_path())
+    wide.kind = np.dtype(np.uint32)
+    words = ["hello", "wörld", "<|endoftext|>x", "日本"]
+    for w in words:
+        assert np.frombuffer(wide.ids_word(w, {}), np.uint32).tolist() == np.frombuffer(bpe.ids_word(w, {}), bpe.kind).tolist()
