@@ -98,6 +98,31 @@ def doc_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\x1f"), F.coalesce(F.col(text), F.lit("")))
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column's name starts with, for columns that must not clash with the caller's."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+#: A key with more than one in ``HOT`` of all rows is hot; there are fewer than ``HOT`` such keys.
+HOT = 1000
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each ``key`` once and in ``count`` how many rows have it.
+
+    Hot keys are broadcast (fewer than ``HOT`` rows, whatever the data) and leave the shuffle; of the
+    other keys none has more than one in ``HOT`` of the rows.  Both sides must be settled.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(table.where(hot).drop(count))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot).drop(count), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, even where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

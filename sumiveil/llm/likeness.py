@@ -3,10 +3,17 @@
 Candidates are found by MinHash: of ``BANDS`` keys of ``DEPTH`` minima each, texts at the bound share
 one with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, likelier ones more often.  Every candidate is
 checked on its whole set.  A key's texts are first compared with one of them, the centre, which is
-the one that shares most keys with others; after that only pairs that no chain of links has brought
-together are left, and all of these are compared.  Pairs are told apart as they are met by four bits
+the one that shares most keys with others.  Pairs are told apart as they are met by four bits
 of each of their 120 minima: of the 480, texts at the bound differ in 48 on average, with a standard
 deviation of 10, and pairs that differ in over ``FAR`` are dropped (at the bound 3 in a million).
+
+What no chain of links has brought together after that, though it shares a key, is compared by an
+exact prefix filter: shingles are put in one order, rare ones first, and of two sets at the bound the
+lesser has one of its first n // 9 + 1 shingles among the first n // 5 + 1 of the greater (the lesser
+lacks a ninth of its own at most, the greater a fifth), at places that leave room for what they must
+share.  Texts of one group with edits of their own begin with shingles that no other has, and so
+don't meet, where their keys would pair all of them.  Any one order loses no pair; how rare a shingle
+is, is read off ``SLOTS`` counters, which is all that is broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ WORDS = 5
 SHARED, OF = 4, 5
 BANDS, DEPTH = 24, 5
 FAR, LONGS = 94, 8
+SLOTS = 1 << 20
 _RNG = np.random.default_rng(42)
 _PLACES = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 63, (BANDS, DEPTH), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,14 +156,53 @@ def like_links(marked: DataFrame, texts: DataFrame, others: DataFrame) -> DataFr
     first = settle(others.union(same).union(alike(stars)))
     found = connected_components(first).select(F.col("node").alias("fp"), "root")
     rooted = met.join(found, "fp", "left").select("band", "node", "n", F.coalesce("root", "fp").alias("root"))
-    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("c"))
-    split = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("x")).where("parts > 1").select("band", F.col("x.root").alias("main"))
-    rest = rooted.join(split, "band")
-    drawn = settle(rest.join(bits, "node"))
-    x, y = drawn.where("root <> main").select("band", "main", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "bits")]), drawn.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "bits")])
-    apart = x.join(y, (x.band == y.band) & F.expr("root_x <> root_y and (root_y = main or node_x < node_y)") & _sizes_fit("n_x", "n_y") & _may_be_alike("bits_x", "bits_y"))
-    left = apart.select(*_ordered("node_x", "node_y")).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.union(alike(settle(left)))
+    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    rest = rooted.join(split, "band").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"))
+    rest = settle(rest.join(node.select("node", "key"), "node"))
+    return first.union(alike(settle(prefix_pairs(rest, texts).join(stars, ["a", "b"], "left_anti"))))
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: the pairs of different roots that the prefix filter leaves, of nodes with root, n and key."""
+    own = settle(rest.join(texts, "key").dropDuplicates(["node"]).select("node", "root", "n", "text"))
+    spark = rest.sparkSession
+
+    def count(batches):
+        slots = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, some in slices(batch.column(0)):
+                np.add.at(slots, (shingle_sets(some)[0] % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at])], names=["slot", "n"])
+
+    counted = own.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slots = np.zeros(SLOTS, np.int64)
+    slots[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(slots)
+
+    @F.arrow_udf("array<long>")
+    def rare(found: pa.Array) -> pa.Array:
+        out = []
+        for _, some in slices(found):
+            h, offsets = shingle_sets(some)
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, shared.value[(h % np.uint64(SLOTS)).astype(np.int64)], row))
+            head = size // 5 + (size > 0)
+            first = h[order][gather_runs(offsets[:-1], head)]
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(head)), pa.int32()), pa.array(first.view(np.int64))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+
+    entry = settle(own.select("node", "root", "n", rare(F.col("text")).alias("rare"))).select("node", "root", "n", F.posexplode("rare").alias("at", "shingle"))
+    # a shingle of one root leads to no pair, nor does a place from which even the shortest set that has it can't be reached
+    some = entry.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("n").alias("least")).where("p <> q").select("shingle", "least")
+    entry = settle(entry.join(some, "shingle").where(f"(n - at) * {OF + SHARED} >= (n + least) * {SHARED}"))
+    x = entry.where("at <= n div 9").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "at")])
+    y = entry.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "at")])
+    ordered = "(n_x < n_y or (n_x = n_y and node_x < node_y)) and root_x <> root_y"
+    room = f"least(n_x - at_x, n_y - at_y) * {OF + SHARED} >= (n_x + n_y) * {SHARED}"
+    pairs = x.join(y, (x.shingle == y.shingle) & F.expr(ordered) & F.expr(room))
+    return pairs.select(*_ordered("node_x", "node_y")).distinct()
 
 
 def with_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -7,9 +7,12 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from sumiveil.llm import sketches as S
+from sumiveil.llm.common import join_by_count, settle
 from sumiveil.llm.components import connected_components
-from sumiveil.llm.simhash import fingerprints, near_duplicates, one_of_each, op6_simhash
+from sumiveil.llm.simhash import fingerprints, near_duplicates, near_links, one_of_each, op6_simhash
 from sumiveil.llm.substrings import TOKENS, dedup_substrings, units
 
 from .conftest import AWKWARD
@@ -63,6 +66,32 @@ def test_links_match_all_pairs(spark, small):
     assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == sorted(set(root))
 
 
+def all_links(fps):
+    return [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2]
+
+
+@pytest.mark.parametrize("crowd", [64, 3, 0])
+def test_segment_tables_lose_no_link(spark, crowd):
+    """Crowded first and second halves, chains and balls, against all pairs."""
+    rng = random.Random(9)
+    half = rng.getrandbits(32)
+    fps = {rng.getrandbits(64) for _ in range(100)} | {half << 32 | rng.getrandbits(6) for _ in range(60)} | {rng.getrandbits(6) << 32 | half for _ in range(60)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps) for _ in range(2)} | {0, 1, 3, (1 << 64) - 1, (1 << 64) - 2}
+    fps = sorted(fps)
+    signed = [np.uint64(f).astype(np.int64).item() for f in fps]
+    found = near_links(settle(spark.createDataFrame([(f,) for f in signed], "fp long")), crowd=crowd).collect()
+    at = {f: i for i, f in enumerate(signed)}
+    got, expected = classes([(at[r["a"]], at[r["b"]]) for r in found], len(fps)), classes(all_links(fps), len(fps))
+    assert got == expected and len(set(expected)) < len(fps) - 100
+
+
+def test_hot_keys_meet_their_rows_once(spark):
+    rows = [(7, i) for i in range(3000)] + [(k, k) for k in range(1000, 3000)]
+    left = settle(spark.createDataFrame(rows, "k long, x long"))
+    table = settle(left.groupBy("k").agg(F.count("*").alias("n")).withColumn("y", F.col("k") * 2))
+    assert sorted((r["k"], r["x"], r["y"]) for r in join_by_count(left, table, "k", "n").collect()) == sorted((k, x, 2 * k) for k, x in rows)
+
+
 def test_near_duplicates_bear_awkward_rows(awkward, nothing):
     rows = near_duplicates(awkward).collect()
     assert sorted((r["doc_id"] or -1, np.int64(r["fp"]).astype(np.uint64).item()) for r in rows) == sorted((i or -1, simhash(t)) for i, t in AWKWARD)

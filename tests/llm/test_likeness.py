@@ -1,6 +1,7 @@
 import random
 
 from corpus_pipeline import near_duplicate_stage
+from sumiveil.llm.likeness import prefix_pairs
 
 from .conftest import AWKWARD
 from .test_duplicates import classes, likeness, shingles, simhash
@@ -27,3 +28,23 @@ def test_stage_bears_awkward_rows(spark):
     kept = {r["doc_id"] for r in near_duplicate_stage(spark, docs, "").collect()}
     assert kept >= {1, 4, 5, 8, 9, 10} and not kept & {2, 3, 6}
     assert near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """A group with edits of its own, of sets of several sizes: all pairs alike are met, few others."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for n in (5, 12, 60, 150):
+        base = rng.choices(words, k=n)
+        for k in range(60):
+            t = list(base)
+            for i in rng.sample(range(n), min(n, k // 6)):
+                t[i] = f"e{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(t[: n - k % 7] if n > 20 else t))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    rest = spark.createDataFrame([(i, i, len(s), i) for i, s in enumerate(sets)], "node long, root long, n int, key long")
+    got = {(r["a"], r["b"]) for r in prefix_pairs(rest, spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if likeness(sets[i], sets[j]) >= 0.8}
+    assert alike <= got and len(alike) > 300 and len(got) < 0.5 * len(texts) * (len(texts) - 1) / 2
