@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more: Spark removes shuffle files only as their owners are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(column: pa.Array, max_bytes: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``, with nulls as empty texts.
 

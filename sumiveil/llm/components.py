@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import settle
+from sumiveil.llm.common import settle, sweep
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Self-links, repeated and reversed edges and nulls do no harm; no edges give no rows.  A star's
     minimum is aggregated map-side and joined back to the edges, so that a node with very many
-    neighbours is never gathered in a task.  Each round is settled in the shared folder.
+    neighbours is never gathered in a task.  Each round is settled in the shared folder, and what the
+    rounds before have shuffled is let go.
     """
     x, y = F.col(a), F.col(b)
     star = settle(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
@@ -24,6 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", F.col("m").alias("v")))
         star = settle(small.distinct())
+        del both, least, large, parent, small
+        sweep(edges.sparkSession)
         child = star.groupBy("u").count()
         wrong = child.where("count > 1").select("u").union(star.select(F.col("v").alias("u")).join(child.select("u"), "u", "left_semi"))
         if wrong.isEmpty():
