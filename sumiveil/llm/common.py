@@ -121,7 +121,8 @@ def join_by_count(rows: DataFrame, table: DataFrame, key: str, count: str) -> Da
     """``rows`` with the columns of ``table``, which has each ``key`` once and in ``count`` how many rows have it.
 
     Hot keys are broadcast (fewer than ``HOT`` rows, whatever the data) and leave the shuffle; of the
-    other keys none has more than one in ``HOT`` of the rows.  Both sides must be settled.
+    other keys none has more than one in ``HOT`` of the rows.  Both sides are read more than once, and
+    so must be settled or cheap to make.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT > total

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import doc_key, gather_runs, settle, slices, words_of
+from sumiveil.llm.common import doc_key, gather_runs, join_by_count, settle, slices, words_of
 from sumiveil.llm.components import connected_components
 
 WORDS = 5
@@ -129,10 +129,11 @@ def like_links(marked: DataFrame, texts: DataFrame, others: DataFrame) -> DataFr
     fps = node.select("node", "fp")
     same = some.select("node", F.col("fp").alias("a")).distinct().join(fps.withColumnRenamed("fp", "b"), "node").where("a <> b").select("a", "b")
     member = node.select("node", "fp", "n", F.explode("bands").alias("band"))
-    met = settle(member.join(member.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "band"))
-    ranked = met.join(met.groupBy("node").agg(F.sum("c").alias("d")), "node")
-    centre = ranked.groupBy("band").agg(F.max(F.struct("d", "node", "n")).alias("x")).select("band", "x")
-    nearest = ranked.join(centre, "band").where("node <> x.node").groupBy("node").agg(F.max("x").alias("x"), F.first("n").alias("n"))
+    sizes = settle(member.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+    met = settle(join_by_count(member, sizes.withColumn("of", F.col("c")), "band", "of"))
+    ranked = settle(met.join(met.groupBy("node").agg(F.sum("c").alias("d")), "node").drop("c"))
+    centre = settle(ranked.groupBy("band").agg(F.max(F.struct("d", "node", "n")).alias("x"), F.count("*").alias("c")))
+    nearest = join_by_count(ranked, centre, "band", "c").where("node <> x.node").groupBy("node").agg(F.max("x").alias("x"), F.first("n").alias("n"))
     stars = nearest.where(F.least("n", "x.n") * OF >= F.greatest("n", "x.n") * SHARED).select(*_ordered("node", "x.node")).distinct()
     wanted = node.join(met.select("node").distinct(), "node", "left_semi").select("node", "key", "n")
     sets = settle(texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "n", whole_set(F.col("text")).alias("s")))
@@ -143,9 +144,9 @@ def like_links(marked: DataFrame, texts: DataFrame, others: DataFrame) -> DataFr
 
     first = settle(others.union(same).union(linked(stars)))
     found = connected_components(first).select(F.col("node").alias("fp"), "root")
-    rooted = met.join(found, "fp", "left").select("band", "node", F.coalesce("root", "fp").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rest = rooted.join(split, "band").groupBy("node").agg(F.first("root").alias("root"))
+    rooted = settle(met.join(found, "fp", "left").select("band", "node", F.coalesce("root", "fp").alias("root")))
+    split = settle(rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("band", "c"))
+    rest = join_by_count(rooted, split, "band", "c").groupBy("node").agg(F.first("root").alias("root"))
     return first.union(linked(settle(prefix_pairs(settle(rest.join(sets, "node"))))))
 
 
