@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one has."""
-    out = with_substrings_removed(docs).withColumn("text", F.col("_dedup.text"))
+    out = with_substrings_removed(docs.select(COLUMNS)).withColumn("text", F.col("dedup.text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
