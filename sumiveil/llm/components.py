@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import settle, sweep
+from sumiveil.llm.common import join_by_count, settle, sweep
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node and root (the least node it reaches) of every node that has an edge to another.
 
     Self-links, repeated and reversed edges and nulls do no harm; no edges give no rows.  A star's
-    minimum is aggregated map-side and joined back to the edges, so that a node with very many
-    neighbours is never gathered in a task.  Each round is settled in the shared folder, and what the
-    rounds before have shuffled is let go.
+    minimum is aggregated map-side and joined back to the edges; a node with very many neighbours
+    leaves that join's shuffle, so that they are never gathered in a task.  Each round is settled in
+    the shared folder, and what the rounds before have shuffled is let go.
     """
     x, y = F.col(a), F.col(b)
     star = settle(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     for _ in range(max_rounds):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", F.col("m").alias("v")))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = settle(join_by_count(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        parent = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_by_count(large, parent, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", F.col("m").alias("v")))
         star = settle(small.distinct())
         del both, least, large, parent, small
         sweep(edges.sparkSession)
