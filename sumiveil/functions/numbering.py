@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sumiveil.session import settle
 
-def dense_numbers(df: DataFrame, group: list[str], order: list[str], into: str = "n", first: int = 1, bucket_of: str | None = None, width: int = 65_536) -> DataFrame:
+
+def dense_numbers(df: DataFrame, group: list[str], order: list[str], into: str = "n", first: int = 1) -> DataFrame:
     """``df`` with a number from ``first`` on within ``group`` by ``order``, without gaps.
 
-    Rows are numbered within ranges of ``bucket_of`` (the leading order column, a whole number), then
-    shifted by the rows of the ranges before: only counts per range, not rows, meet in one place.
+    Rows are dealt out by ranges of group and order, whose bounds Spark samples from the rows, so they
+    are even whatever the values; they are numbered within a range and shifted by the ranges before.
+    Only a count per range and group meets in one place.
     """
-    lead = bucket_of or order[0]
-    df = df.withColumn("_b", F.floor(F.col(lead) / width))
-    own = Window.partitionBy(*group, "_b").orderBy(*order)
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*group, "_b").count().withColumn("_s", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    out = df.withColumn("_o", F.row_number().over(own)).join(counts, [*group, "_b"])
-    return out.withColumn(into, (F.col("_o") + F.col("_s") + (first - 1)).cast("long")).drop("_b", "_o", "_s")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # settled: which range a row is in must not change between its number and its shift
+    dealt = settle(df.repartitionByRange(ranges, *group, *order).withColumn("_p", F.spark_partition_id()))
+    own = Window.partitionBy(*group, "_p").orderBy(*order)
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*group, "_p").count().withColumn("_s", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    out = dealt.withColumn("_o", F.row_number().over(own)).join(counts, [*group, "_p"])
+    return out.withColumn(into, (F.col("_o") + F.col("_s") + (first - 1)).cast("long")).drop("_p", "_o", "_s")
+
+
+def with_row(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df``, settled, with a number of each row that stays the same; for joins that may not trust the caller's ids."""
+    return settle(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def nulls_last(column: str) -> Column:
+    """A value to order by: that of the column, nulls after all others."""
+    return F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("value"))

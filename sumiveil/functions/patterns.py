@@ -18,10 +18,11 @@ COMPANY_BEFORE = rf"(?U)(?:{COMPANY_FORMS})\s?{NAME_CHARS}{{1,25}}"
 COMPANY_AFTER = rf"(?U){NAME_CHARS}{{1,25}}\s?(?:{COMPANY_FORMS}|㈱|㈲)"
 _BUILDING = "(?:ビルディング|ビル|タワー|センター|オフィス|プラザ|マンション|ハイツ|コーポ|棟)"
 _INNER = "[0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ぁ-んァ-ヶ・ー]{0,24}?"
-#: A chain of building names is bounded: the JVM's matcher recurses once per link of an open one.
+# The chain of building names is possessive: what follows it may be empty, so it never has to give a
+# link back, and the JVM's matcher, which recurses on a chain that may, goes through this one in a loop.
 ADDRESS = (
-    r"(?:北海道|東京都|京都府|大阪府|[一-龥]{2,3}県)[一-龥ぁ-んァ-ヶー]{1,16}?[0-9０-９][0-9０-９丁目番地号条\-－ー−―‐]{0,200}"
-    rf"(?:[ 　]?[0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ァ-ヶ・ー]{_INNER}{_BUILDING}(?:{_INNER}{_BUILDING}){{0,8}}(?:[0-9０-９]{{1,4}}(?:階|Ｆ|F|号室|号)?)?)?"
+    r"(?:北海道|東京都|京都府|大阪府|[一-龥]{2,3}県)[一-龥ぁ-んァ-ヶー]{1,16}?[0-9０-９][0-9０-９丁目番地号条\-－ー−―‐]*"
+    rf"(?:[ 　]?[0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ァ-ヶ・ー]{_INNER}{_BUILDING}(?:{_INNER}{_BUILDING})*+(?:[0-9０-９]{{1,4}}(?:階|Ｆ|F|号室|号)?)?)?"
 )
 PREFECTURE = r"(?U)(?:北海道|東京都|京都府|大阪府|[^\s\d,、／/]{2,3}県)"
 PII_SPLIT = rf"(?U)(?:{EMAIL})|(?:(?<![\d\-])(?:0\d{{1,4}}-\d{{1,4}}-\d{{3,4}}|0\d{{9,10}})(?![\d\-]))|(?:(?<![\d\-])\d{{3}}-\d{{4}}(?![\d\-]))"

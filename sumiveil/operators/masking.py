@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumiveil.functions import patterns as P
 from sumiveil.functions.finder import Finder
-from sumiveil.functions.numbering import dense_numbers
+from sumiveil.functions.numbering import dense_numbers, nulls_last, with_row
 from sumiveil.functions.spans import first_taken, matches, splice
 from sumiveil.functions.text import _c
 
@@ -17,40 +18,59 @@ LOOSE_FROM = 4
 #: Terms of one broadcast; longer lists are matched a block at a time.
 TERMS_PER_BLOCK = 100_000
 HIT = "struct<begin:int,end:int,stage:int,kind:string,value:string,term:string,rank:long>"
+HIT_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("stage", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("rank", pa.int64())]))
 
 
-_HIT_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("stage", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("rank", pa.int64())]))
+class TermMatcher:
+    """Hits of every term in a text, by rank, then place; an alias is masked under its canonical text.
+
+    Terms of ``LOOSE_FROM`` characters or more are looked for in the text without its white space,
+    and where there are any their places come from the runs between it.
+    """
+
+    def __init__(self, terms: list[tuple]):
+        import regex
+
+        self.space, self.run = regex.compile(r"\s+"), regex.compile(r"\S+")
+        self.terms = sorted((t for t in terms if t[1]), key=lambda t: (-len(t[1]), t[0]))
+        cores = ["".join(c for c in t[1] if c not in P.NARROW_SPACE) for t in self.terms]
+        self.shown = [t[4] if len(t) > 4 and t[4] else t[1] for t in self.terms]
+        self.loose = [k for k, c in enumerate(cores) if len(c) >= LOOSE_FROM]
+        self.exact = [k for k, c in enumerate(cores) if len(c) < LOOSE_FROM]
+        self.size = [len(c) for c in cores]
+        self.in_cores, self.in_text = Finder([cores[k] for k in self.loose]), Finder([self.terms[k][1] for k in self.exact])
+
+    def places(self, text: str) -> list[tuple[int, int, int]]:
+        """(term, begin, end) of all hits."""
+        out = [(self.exact[k], p, p + len(self.terms[self.exact[k]][1])) for k, p in self.in_text.find(text)]
+        found = self.in_cores.find(self.space.sub("", text)) if self.loose else []
+        if found:
+            runs = [m.span() for m in self.run.finditer(text)]
+            begins = np.fromiter((b for b, _ in runs), np.int64, len(runs))
+            before = np.cumsum([0, *(e - b for b, e in runs[:-1])])
+            last = lambda p: int(np.searchsorted(before, p, "right")) - 1
+            at = lambda p: int(begins[last(p)] + p - before[last(p)])
+            out += [(self.loose[k], at(p), at(p + self.size[self.loose[k]] - 1) + 1) for k, p in found]
+        return sorted(out)
+
+    def hits(self, text: str | None) -> list[dict]:
+        text, out = text or "", []
+        for k, b, e in self.places(text):
+            o, term, kind, whole = self.terms[k][:4]
+            if not whole or not touches_word(text, b, e):
+                out.append({"begin": b, "end": e, "stage": 3, "kind": P.TOKEN_PREFIX.get(kind, "MASKED"), "value": self.shown[k], "term": self.shown[k], "rank": ((1 << 20) - len(term)) * (1 << 32) + o})
+        return out
 
 
 def _matcher(terms: list[tuple]):
-    """An Arrow UDF: hits of every term in a text, by rank, then place; an alias is masked under its canonical text."""
-    terms = sorted((t for t in terms if t[1]), key=lambda t: (-len(t[1]), t[0]))
-    cores = ["".join(c for c in t[1] if c not in P.NARROW_SPACE) for t in terms]
-    shown = [t[4] if len(t) > 4 and t[4] else t[1] for t in terms]
-    loose = [k for k, c in enumerate(cores) if len(c) >= LOOSE_FROM]
-    exact = [k for k, c in enumerate(cores) if len(c) < LOOSE_FROM]
-    finders: list[Finder] = []
+    """An Arrow UDF of a :class:`TermMatcher`."""
+    made: list[TermMatcher] = []
 
     @F.arrow_udf(f"array<{HIT}>")
     def find(texts: pa.Array) -> pa.Array:
-        import regex
-
-        space = regex.compile(r"\s")
-        if not finders:
-            finders.extend((Finder([cores[k] for k in loose]), Finder([terms[k][1] for k in exact])))
-        out = []
-        for text in texts.to_pylist():
-            text = text or ""
-            at = [i for i, c in enumerate(text) if not space.match(c)] if loose else []
-            found = [(loose[k], at[p], at[p + len(cores[loose[k]]) - 1] + 1) for k, p in finders[0].find("".join([text[i] for i in at]))]
-            found += [(exact[k], p, p + len(terms[exact[k]][1])) for k, p in finders[1].find(text)]
-            hits = []
-            for k, b, e in sorted(found):
-                o, term, kind, whole = terms[k][:4]
-                if not whole or not touches_word(text, b, e):
-                    hits.append({"begin": b, "end": e, "stage": 3, "kind": P.TOKEN_PREFIX.get(kind, "MASKED"), "value": shown[k], "term": shown[k], "rank": ((1 << 20) - len(term)) * (1 << 32) + o})
-            out.append(hits)
-        return pa.array(out, _HIT_ARROW)
+        if not made:
+            made.append(TermMatcher(terms))
+        return pa.array([made[0].hits(t) for t in texts.to_pylist()], HIT_ARROW)
 
     return find
 
@@ -118,27 +138,41 @@ def number_values(hits: DataFrame, reversible: bool = True) -> DataFrame:
     """The mapping: value, kind, n and token, from hits (ord, begin, stage, kind, value, rank).
 
     A value has one token whatever the kinds it was hit as, that of its first hit.  Within a kind
-    numbers are numbered as they appear, terms by length and list order.
+    numbers are numbered as they appear (by ``ord``, of any type, then place), terms by length and
+    list order.
     """
-    lead = F.col("stage").cast("long") * F.lit(1 << 56) + F.when(F.col("stage") < 3, F.col("ord")).otherwise(F.col("rank"))
-    first = hits.withColumn("lead", lead).groupBy("value").agg(F.min(F.struct("lead", "begin", "kind")).alias("f")).select("value", "f.lead", "f.begin", "f.kind")
-    numbered = dense_numbers(first, ["kind"], ["lead", "begin", "value"], "n", bucket_of="lead")
+    lead = F.struct("stage", F.when(F.col("stage") < 3, F.col("ord")).alias("ord"), "rank", "begin")
+    first = hits.withColumn("lead", lead).groupBy("value").agg(F.min(F.struct("lead", "kind")).alias("f")).select("value", "f.lead", "f.kind")
+    numbered = dense_numbers(first, ["kind"], ["lead", "value"], "n")
     return numbered.select("value", "kind", "n", placeholder("kind", "n", reversible).alias("token"))
 
 
+def spliced(found: DataFrame, pieces: DataFrame, to: str, by: str = "row") -> DataFrame:
+    """``found`` with the spans of its column text replaced that ``pieces`` (``by``, begin, end, ``to``) has; texts move once."""
+    spans = pieces.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("begin", "end", to))).alias("spans"))
+    out = F.when(F.col("spans").isNull(), F.col("text")).otherwise(splice("text", F.col("spans"), lambda s: s[to]))
+    return found.join(spans, by, "left").withColumn("text", out).drop("spans")
+
+
 def mask(docs: DataFrame, terms=(), *, doc_id: str = "doc_id", text: str = "text", reversible: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and masked text, mapping); doc_id gives the order in which numbers appear.
+    """(doc_id and masked text, mapping); doc_id gives the order in which numbers appear, nulls last.
 
-    Only hits travel: they meet their tokens by value and come back to their document.  Null texts
-    are empty.
+    Rows are told apart by a number of the engine's own, never by doc_id, so rows with a null or a
+    repeated doc_id are masked each.  Texts are searched once; only hits travel: they meet their
+    tokens by value and come back to their row.  Null texts are empty; an empty table gives no rows.
     """
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hits", mask_hits("text", terms))
-    each = found.select("doc_id", F.explode("hits").alias("h")).select(F.col("doc_id"), F.col("doc_id").alias("ord"), "h.begin", "h.end", "h.stage", "h.kind", "h.value", "h.rank")
+    out, mapping = mask_rows(docs, terms, doc_id=doc_id, text=text, reversible=reversible)
+    return out.select("doc_id", "text"), mapping
+
+
+def mask_rows(docs: DataFrame, terms=(), *, doc_id: str = "doc_id", text: str = "text", reversible: bool = True) -> tuple[DataFrame, DataFrame]:
+    """As :func:`mask`, with ``existing``: what in the source already looks like a placeholder, and so may be restored wrongly."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = with_row(found.withColumn("hits", mask_hits("text", terms)))
+    each = found.select("row", F.struct(nulls_last("doc_id").alias("id"), "row").alias("ord"), F.explode("hits").alias("h")).select("row", "ord", "h.begin", "h.end", "h.stage", "h.kind", "h.value", "h.rank")
     mapping = number_values(each, reversible)
-    tokens = each.join(mapping.select("value", "token"), "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "token"))).alias("spans"))
-    joined = found.select("doc_id", "text").join(tokens, "doc_id", "left")
-    out = F.when(F.col("spans").isNull(), F.col("text")).otherwise(splice("text", F.col("spans"), lambda s: s["token"]))
-    return joined.select("doc_id", out.alias("text")), mapping
+    pieces = each.join(mapping.select("value", "token"), "value").select("row", "begin", "end", "token")
+    return spliced(found.select("row", "doc_id", "text", existing_placeholders("text").alias("existing")), pieces, "token").select("doc_id", "text", "existing"), mapping
 
 
 def existing_placeholders(text) -> Column:
@@ -150,7 +184,7 @@ def unreplaced_tokens(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(P.REVERSIBLE), F.lit(0))
 
 
-def _outside(spans: Column, text) -> Column:
+def outside_placeholders(spans: Column, text) -> Column:
     inside = matches(text, P.PLACEHOLDER)
     return F.filter(spans, lambda s: ~F.exists(inside, lambda p: (s["begin"] >= p["begin"]) & (s["end"] <= p["end"])))
 
@@ -164,8 +198,8 @@ def gate(text, values: list[str] = (), bounded: list[str] = ()) -> Column:
     for given, whole in ((values, False), (bounded, True)):
         given = [v for v in given if v]
         if given:
-            out.append(_names(_outside(_literal(given, whole)(_c(text)), text), given))
-    numbers = F.concat(*[_outside(matches(text, p), text) for _, p in P.NUMBER_PATTERNS])
+            out.append(_names(outside_placeholders(_literal(given, whole)(_c(text)), text), given))
+    numbers = F.concat(*[outside_placeholders(matches(text, p), text) for _, p in P.NUMBER_PATTERNS])
     return F.concat(*out, F.transform(numbers, lambda s: s["value"]))
 
 
@@ -192,10 +226,11 @@ def _literal(values: list[str], whole: bool):
 
 
 def restore(docs: DataFrame, mapping: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text with tokens replaced by their values, and the tokens left over."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    each = found.select("doc_id", F.explode(matches("text", P.PLACEHOLDER)).alias("h")).select("doc_id", "h.begin", "h.end", F.col("h.value").alias("token"))
-    spans = each.join(mapping.select("token", "value").dropDuplicates(["token"]), "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "value"))).alias("spans"))
-    joined = found.join(spans, "doc_id", "left")
-    out = F.when(F.col("spans").isNull(), F.col("text")).otherwise(splice("text", F.col("spans"), lambda s: s["value"]))
-    return joined.select("doc_id", out.alias("text")).withColumn("left_over", unreplaced_tokens("text"))
+    """doc_id, text with tokens replaced by their values, and the tokens left over, of every row.
+
+    Rows with a null or a repeated doc_id are restored each; null texts are empty.
+    """
+    found = with_row(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    each = found.select("row", F.explode(matches("text", P.PLACEHOLDER)).alias("h")).select("row", "h.begin", "h.end", F.col("h.value").alias("token"))
+    pieces = each.join(mapping.select("token", "value").dropDuplicates(["token"]), "token").select("row", "begin", "end", "value")
+    return spliced(found, pieces, "value").select("doc_id", "text").withColumn("left_over", unreplaced_tokens("text"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumiveil.functions import patterns as P
+from sumiveil.functions.numbering import with_row
 from sumiveil.functions.spans import without_contained
 from sumiveil.functions.text import _c, chunks, cut, katakana_to_hiragana, trim
 
@@ -105,6 +106,8 @@ class NullNer:
 class TableNer:
     """Spans from a table (doc_id, base, type, begin, end, score)."""
 
+    by_id = True
+
     def __init__(self, table: DataFrame):
         self.table = table
 
@@ -183,11 +186,16 @@ class OnnxNer:
 
 
 def model_spans(docs: DataFrame, provider: NerProvider, *, doc_id: str = "doc_id", text: str = "text", size: int = 250) -> DataFrame:
-    """doc_id and spans (array of type, begin, end, value, score) of a provider, over overlapping chunks, without repeats."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    pieces = docs.select("doc_id", F.explode(chunks("text", size)).alias("c")).select("doc_id", "c.base", "c.text")
+    """doc_id, text and model_spans (array of type, begin, end, value, score) of a provider, over overlapping chunks, without repeats.
+
+    The provider gets a number of the row as doc_id, so rows with a null or a repeated doc_id have
+    their own spans; only one that goes by the caller's ids (``by_id``) gets those.
+    """
+    key = "doc_id" if getattr(provider, "by_id", False) else "row"
+    docs = with_row(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    pieces = docs.select(F.col(key).alias("doc_id"), F.explode(chunks("text", size)).alias("c")).select("doc_id", "c.base", "c.text")
     found = provider.spans(pieces).select("doc_id", "base", "type", (F.col("begin") + F.col("base")).alias("begin"), (F.col("end") + F.col("base")).alias("end"), "score")
-    each = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("base", "begin", "end", "type", "score"))).alias("s"))
-    joined = docs.join(each, "doc_id", "left")
+    each = found.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("base", "begin", "end", "type", "score"))).alias("s"))
+    joined = docs.join(each, key, "left")
     spans = F.transform(without_contained(F.coalesce(F.col("s"), F.array().cast("array<struct<base:int,begin:int,end:int,type:string,score:float>>"))), lambda x: F.struct(x["type"].alias("type"), x["begin"].alias("begin"), x["end"].alias("end"), cut(F.col("text"), x["begin"], x["end"]).alias("value"), x["score"].alias("score")))
     return joined.select("doc_id", "text", spans.alias("model_spans"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sumiveil.functions import patterns as P
-from sumiveil.functions.spans import matches, splice
+from sumiveil.functions.finder import Finder
+from sumiveil.functions.numbering import nulls_last, with_row
+from sumiveil.functions.spans import first_taken, matches
 from sumiveil.functions.text import _c, symbol_only, trim
-from sumiveil.operators.masking import gate, mask_hits, number_values
+from sumiveil.operators.masking import HIT, HIT_ARROW, TermMatcher, gate, number_hits, number_values, outside_placeholders, spliced, touches_word
+from sumiveil.session import settle
 
 NUMERIC_LIKE = r"(?U)^[\d０-９.,．，/／\-－:：\s年月日時分秒%％¥￥$+±()（）]+$"
 
@@ -141,35 +144,74 @@ def weak_value(value) -> Column:
 
 
 def column_terms(plan: DataFrame, confirmed: list[str] = ()) -> DataFrame:
-    """value, kind and weak of the distinct whole values that are no confirmed term, in row order."""
+    """doc_id, value, kind and weak of the distinct whole values of each sheet that are no confirmed term, with their first row and col."""
     values = plan.where("mode = 'whole'")
     values = values.where(~F.col("value").isin(*confirmed)) if confirmed else values
-    return values.groupBy("value").agg(F.min(F.struct("row", "col", "kind")).alias("f")).select("value", "f.kind", weak_value("value").alias("weak"), F.col("f.row").alias("row"), F.col("f.col").alias("col"))
+    return values.groupBy("doc_id", "value").agg(F.min(F.struct("row", "col", "kind")).alias("f")).select("doc_id", "value", "f.kind", weak_value("value").alias("weak"), F.col("f.row").alias("row"), F.col("f.col").alias("col"))
 
 
-def sanitise(cells: DataFrame, confirmed: list[tuple[str, str]], rules: DataFrame, reversible: bool = True, width: int = 16_384) -> dict[str, DataFrame]:
-    """Masked cells, mapping, leaks and what excluded columns still show.
+def _sheet() -> Column:
+    """A key for a sheet that a null doc_id has, too."""
+    return F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("sheet")
 
-    Whole cells are numbered first, in row and column order; strong column values then count as
-    whole-word terms in the other cells, weak ones only in their own.
+
+_FOUND = "cell long, text string, found array<struct<begin:int,end:int,value:string>>"
+
+
+def _find_terms(confirmed: list[tuple[str, str]]):
+    """Hits of the confirmed terms and of its own strong column values in each normal cell of a sheet."""
+
+    def find(cells: pa.Table, strong: pa.Table) -> pa.Table:
+        own = sorted(strong.select(["row", "col", "value", "kind"]).to_pylist(), key=lambda r: (r["row"], r["col"]))
+        terms = [(i, t, k, False) for i, (t, k) in enumerate(confirmed)] + [(len(confirmed) + i, r["value"], r["kind"], True) for i, r in enumerate(own)]
+        matcher = TermMatcher(terms)
+        hits = pa.array([matcher.hits(t) for t in cells.column("text").to_pylist()], HIT_ARROW)
+        return pa.table([cells.column("cell"), cells.column("text"), hits], names=["cell", "text", "hits"])
+
+    return find
+
+
+def _find_values(cells: pa.Table, values: pa.Table) -> pa.Table:
+    """Places of a sheet's own values in its cells, bounded ones as whole words."""
+    given = values.select(["value", "bounded"]).to_pylist()
+    finder = Finder([r["value"] for r in given])
+    out = []
+    for text in cells.column("text").to_pylist():
+        places = [(given[k], p, p + len(given[k]["value"])) for k, p in finder.find(text)]
+        out.append([{"begin": b, "end": e, "value": r["value"]} for r, b, e in places if not r["bounded"] or not touches_word(text, b, e)])
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+    return pa.table([cells.column("cell"), cells.column("text"), pa.array(out, kind)], names=["cell", "text", "found"])
+
+
+def sanitise(cells: DataFrame, confirmed: list[tuple[str, str]], rules: DataFrame, reversible: bool = True) -> dict[str, DataFrame]:
+    """Masked cells, mapping, leaks and what excluded columns still show, of any number of sheets (doc_id).
+
+    Whole cells are numbered first, sheet by sheet in row and column order; a sheet's strong column
+    values then count as whole-word terms in its other cells, weak ones only in their own.  Sheets
+    share the mapping and nothing else.  Each is matched in one task, as it was parsed in one; nothing
+    but the confirmed terms, which a person has reviewed, passes through the driver.  Cells that
+    repeat a place are masked each.
     """
-    plan = cell_plan(cells.where(filled("text")), rules)
-    strong = [(r["value"], r["kind"]) for r in column_terms(plan, [t for t, _ in confirmed]).where("not weak").orderBy("row", "col").collect()]
-    terms = [(i, t, k, i >= len(confirmed)) for i, (t, k) in enumerate([*confirmed, *strong])]
+    plan = with_row(cell_plan(cells.where(filled("text")), rules), "cell")
+    terms = column_terms(plan, [t for t, _ in confirmed])
     prefix = F.create_map(*[F.lit(x) for kv in P.TOKEN_PREFIX.items() for x in kv])
-    place = (F.col("row").cast("long") * width + F.col("col")).alias("ord")
-    whole = plan.where("mode = 'whole'").select("doc_id", "row", "col", place, F.lit(0).alias("begin"), F.lit(-1).alias("stage"), F.coalesce(F.try_element_at(prefix, F.col("kind")), F.lit("MASKED")).alias("kind"), "value", F.lit(0).cast("long").alias("rank"), F.col("lead").alias("b"), (F.col("lead") + F.char_length("value")).alias("e"))
-    normal = plan.where("mode = 'normal'").select("doc_id", "row", "col", place, F.explode(mask_hits("text", terms)).alias("h")).select("doc_id", "row", "col", "ord", "h.begin", "h.stage", "h.kind", "h.value", "h.rank", F.col("h.begin").alias("b"), F.col("h.end").alias("e"))
-    hits = whole.unionByName(normal)
+    place = F.struct(nulls_last("doc_id").alias("id"), "row", "col").alias("ord")
+    whole = plan.where("mode = 'whole'").select("cell", place, F.lit(0).alias("begin"), F.lit(-1).alias("stage"), F.coalesce(F.try_element_at(prefix, F.col("kind")), F.lit("MASKED")).alias("kind"), "value", F.lit(0).cast("long").alias("rank"), F.col("lead").alias("b"), (F.col("lead") + F.char_length("value")).alias("e"))
+    normal = plan.where("mode = 'normal'")
+    strong = terms.where("not weak").select(_sheet(), "row", "col", "value", "kind")
+    matched = normal.select(_sheet(), "cell", "text").groupBy("sheet").cogroup(strong.groupBy("sheet")).applyInArrow(_find_terms(list(confirmed)), f"cell long, text string, hits array<{HIT}>")
+    taken = matched.select("cell", F.explode(first_taken(F.concat(number_hits("text").cast(f"array<{HIT}>"), F.col("hits")), HIT)).alias("h"))
+    met = taken.join(normal.select("cell", place), "cell").select("cell", "ord", "h.begin", "h.stage", "h.kind", "h.value", "h.rank", F.col("h.begin").alias("b"), F.col("h.end").alias("e"))
+    hits = settle(whole.unionByName(met))
     mapping = number_values(hits.select("ord", "begin", "stage", "kind", "value", "rank"), reversible)
-    tokens = hits.join(mapping.select("value", "token"), "value").groupBy("doc_id", "row", "col").agg(F.array_sort(F.collect_list(F.struct(F.col("b").alias("begin"), F.col("e").alias("end"), "token"))).alias("spans"))
-    changed = plan.join(tokens, ["doc_id", "row", "col"]).select("doc_id", "row", "col", splice("text", F.col("spans"), lambda s: s["token"]).alias("text"))
-    out = plan.select("doc_id", "row", "col", "mode", F.col("text").alias("old")).join(changed, ["doc_id", "row", "col"], "left").withColumn("text", F.coalesce("text", "old"))
-    known = [r["value"] for r in mapping.select("value").collect()]
-    weak = {r["value"] for r in column_terms(plan, [t for t, _ in confirmed]).where("weak").select("value").collect()}
-    words = {t for t, _ in strong}
-    check = gate("text", [v for v in known if v not in weak and v not in words], [v for v in known if v in words])
-    leaks = out.select("doc_id", "row", "col", "mode", F.explode(check).alias("value"))
+    pieces = hits.join(mapping.select("value", "token"), "value").select("cell", F.col("b").alias("begin"), F.col("e").alias("end"), "token")
+    out = spliced(plan.select("cell", "doc_id", "row", "col", "mode", F.col("text").alias("old"), "text"), pieces, "token", by="cell")
+    # what each sheet may not show: its values but for the weak ones, strong ones as whole words
+    own = hits.join(plan.select("cell", _sheet()), "cell").select("sheet", "value").distinct()
+    known = own.join(terms.select(_sheet(), "value", "weak"), ["sheet", "value"], "left").where("weak is null or not weak").select("sheet", "value", F.col("weak").isNotNull().alias("bounded"))
+    found = out.select(_sheet(), "cell", "text").groupBy("sheet").cogroup(known.groupBy("sheet")).applyInArrow(_find_values, _FOUND)
+    shown = F.array_distinct(F.transform(outside_placeholders(F.col("found"), "text"), lambda s: s["value"]))
+    leaks = found.select("cell", F.explode(F.concat(shown, gate("text"))).alias("value")).join(out.select("cell", "doc_id", "row", "col", "mode"), "cell")
     return {
         "cells": out.where("text <> old").select("doc_id", "row", "col", "text"),
         "mapping": mapping,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumiveil.operators.candidates import document_candidates, in_order, merge_candidates
 from sumiveil.operators.detection import merge_spans, pattern_spans
-from sumiveil.operators.masking import gate, mask
+from sumiveil.operators.masking import gate, mask_rows
 from sumiveil.operators.providers import reading_terms
 
 
@@ -25,12 +25,34 @@ def detect(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = Non
     return in_order(merge_candidates(document_candidates(found)))
 
 
+class LeakError(RuntimeError):
+    """A masked table still shows what it should not."""
+
+
 def mask_checked(docs: DataFrame, terms=(), *, reversible: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text and leaks; mapping).  Texts are given whatever the gate says: the caller decides."""
-    out, mapping = mask(docs, terms, reversible=reversible)
+    """(doc_id, text, existing and leaks; mapping).
+
+    ``leaks`` is what the gate still finds, ``existing`` what in the source looked like a placeholder
+    before (restoring would put values there).  Texts are given whatever the gate says;
+    :func:`exit_status` and :func:`require_clean` decide.
+    """
+    out, mapping = mask_rows(docs, terms, reversible=reversible)
     return out.withColumn("leaks", gate("text", [t[1] for t in terms if len(t) < 5])), mapping
 
 
+def exit_status(masked: DataFrame) -> int:
+    """0 if no text of a checked table leaks, 3 otherwise."""
+    return 0 if masked.where(F.size("leaks") > 0).isEmpty() else 3
+
+
+def require_clean(masked: DataFrame) -> DataFrame:
+    """The table without ``leaks``, or :class:`LeakError` with the number of texts that leak; the message shows no value."""
+    n = masked.where(F.size("leaks") > 0).count()
+    if n:
+        raise LeakError(f"{n} masked texts still show values")
+    return masked.drop("leaks")
+
+
 def with_readings(terms: list[tuple], aliases: DataFrame) -> list[tuple]:
     """Confirmed terms and the readings of their people, which share the names' tokens.
 
@@ -42,4 +64,4 @@ def with_readings(terms: list[tuple], aliases: DataFrame) -> list[tuple]:
     return [*terms, *((first + k, r["alias"], "PERSON", False, r["canonical"]) for k, r in enumerate(rows) if r["alias"] not in known)]
 
 
-__all__ = ["detect", "mask_checked", "reading_terms", "with_readings"]
+__all__ = ["LeakError", "detect", "exit_status", "mask_checked", "reading_terms", "require_clean", "with_readings"]

@@ -212,7 +212,16 @@ _HITS = f"""
         SELECT doc_id, regexp_extract_all(text, '{_E}') AS v, regexp_split_to_array(text, '{_E}') AS p FROM documents)))"""
 _WORD = r"[0-9A-Za-z\x{80}-\x{9F}\x{C0}-\x{1FFF}\x{2070}-\x{2DFF}\x{3040}-\x{30FA}\x{30FC}-\x{FEFF}]"
 _NOT_WORD = "[^" + _WORD[1:]
-_COMPANY_BEFORE, _COMPANY_AFTER, _ADDRESS = (p.removeprefix("(?U)") for p in (P.COMPANY_BEFORE, P.COMPANY_AFTER, P.ADDRESS))
+# Fixed values, in the dialect of RE2.
+_FORMS = "株式会社|有限会社|合同会社|合名会社|合資会社|一般社団法人|一般財団法人|公益社団法人|公益財団法人|協同組合|（株）|\\(株\\)|（有）|\\(有\\)"
+_COMPANY_BEFORE = f"(?:{_FORMS})\\s?[一-龥々〆ヶぁ-んァ-ヶー・ゝゞ0-9０-９a-zA-Zａ-ｚＡ-Ｚ]{{1,25}}"
+_COMPANY_AFTER = f"[一-龥々〆ヶぁ-んァ-ヶー・ゝゞ0-9０-９a-zA-Zａ-ｚＡ-Ｚ]{{1,25}}\\s?(?:{_FORMS}|㈱|㈲)"
+_BUILDING = "(?:ビルディング|ビル|タワー|センター|オフィス|プラザ|マンション|ハイツ|コーポ|棟)"
+_ADDRESS = (
+    "(?:北海道|東京都|京都府|大阪府|[一-龥]{2,3}県)[一-龥ぁ-んァ-ヶー]{1,16}?[0-9０-９][0-9０-９丁目番地号条\\-－ー−―‐]*"
+    "(?:[ 　]?[0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ァ-ヶ・ー][0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ぁ-んァ-ヶ・ー]{0,24}?" + _BUILDING
+    + "(?:[0-9０-９A-Za-zＡ-Ｚａ-ｚ一-龥ぁ-んァ-ヶ・ー]{0,24}?" + _BUILDING + ")*(?:[0-9０-９]{1,4}(?:階|Ｆ|F|号室|号)?)?)?"
+)
 _PROSE = f"(SELECT * FROM (VALUES {_values(PROSE)}) t(doc_id, text))"
 _SPANS = f"""
     SELECT doc_id, 'ORGANIZATION' AS type, unnest(regexp_extract_all(text, '{_COMPANY_BEFORE}')) AS value FROM {_PROSE}

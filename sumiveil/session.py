@@ -1,11 +1,12 @@
-"""What a session needs before queries run."""
+"""What a session needs before queries run, and the shared folder that results are settled in."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -15,3 +16,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where none is set, on one machine (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder and go on from there, with its lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sumiveil.sources import extract as X
 from sumiveil.sources import msg as _msg  # registers the extractor
 
-PASSPHRASE_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"[:31]
+# Fixed value: without the letters and digits that look alike.
+PASSPHRASE_LETTERS = "ABCDEFGHJKMNPQRSTUVWXYZ23456789"
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -162,7 +162,7 @@ def test_trims(spark):
 
 def test_dense_numbers_cross_buckets(spark):
     df = spark.createDataFrame([("a", i * 7) for i in range(50)] + [("b", 3)], "k string, o long")
-    got = dense_numbers(df, ["k"], ["o"], width=11).where("k = 'a'").orderBy("o").collect()
+    got = dense_numbers(df, ["k"], ["o"]).where("k = 'a'").orderBy("o").collect()
     assert [r["n"] for r in got] == list(range(1, 51))
 
 
@@ -211,3 +211,44 @@ def test_readings_share_the_token_of_their_name(spark):
     out, mapping = M.mask(given_docs, with_readings([(0, "山田太郎", "PERSON", False)], aliases))
     assert out.first()["text"] == "{{PERSON_1}}と{{PERSON_1}}" and [r["value"] for r in mapping.collect()] == ["山田太郎"]
     assert M.restore(out, mapping).first()["text"] == "山田太郎と山田太郎"
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids are masked and restored each, and no text is joined with another's tokens."""
+    rows = [(1, "hi a@b.co x"), (1, "hi a@b.co x"), (2, "c@d.co"), (2, "zz e@f.co tail"), (None, "null id q@r.co"), (None, "山田太郎 q@r.co"), (None, None), (3, "no hit")]
+    given_docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out, mapping = M.mask(given_docs, TERMS)
+    got = sorted((r["doc_id"] or 9, r["text"]) for r in out.collect())
+    assert got[0] == got[1] == (1, "hi {{EMAIL_1}} x") and got[4] == (3, "no hit") and got[5][1] == ""
+    tokens = {r["value"]: r["token"] for r in mapping.collect()}
+    assert {t for _, t in got} == {"hi {{EMAIL_1}} x", "", "no hit", tokens["c@d.co"], f"zz {tokens['e@f.co']} tail", f"null id {tokens['q@r.co']}", f"{tokens['山田太郎']} {tokens['q@r.co']}"}
+    assert tokens["q@r.co"] == "{{EMAIL_4}}" and {tokens["c@d.co"], tokens["e@f.co"]} == {"{{EMAIL_2}}", "{{EMAIL_3}}"}
+    back = sorted((r["doc_id"] or 9, r["text"]) for r in M.restore(out, mapping).collect())
+    assert back == sorted((i or 9, t or "") for i, t in rows)
+
+
+def test_white_space_inside_terms(spark):
+    text = " 山 田\n太郎\u3000x　山田太 郎\x1c山田\x85太郎"
+    got = M.TermMatcher([(0, "山田太郎", "PERSON", False), (1, "x", "ID", True)]).hits(text)
+    assert [text[h["begin"] : h["end"]] for h in got] == ["山 田\n太郎", "山田太 郎", "山田\x85太郎", "x"] and M.TermMatcher([]).hits(text) == []
+    assert M.TermMatcher([(0, "ab cd", "PERSON", False)]).hits("a bcd   ab\ncd")[1]["begin"] == 8
+
+
+def test_leaks_are_reported_not_passed_over(spark):
+    from sumiveil.plans.pipeline import LeakError, exit_status, mask_checked, require_clean
+
+    clean, _ = mask_checked(docs(spark, "山田 {{EMAIL_1}}", "x"), TERMS)
+    assert exit_status(clean) == 0 and require_clean(clean).columns == ["doc_id", "text", "existing"]
+    assert {r["doc_id"]: r["existing"] for r in clean.collect()} == {1: ["{{EMAIL_1}}"], 2: []}
+    leaking = clean.withColumn("leaks", F.array(F.lit("山田")))
+    assert exit_status(leaking) == 3
+    with pytest.raises(LeakError, match="^2 masked texts"):
+        require_clean(leaking)
+
+
+def test_address_without_caps(spark):
+    from sumiveil.operators.detection import pattern_spans
+
+    number, chain = "1" + "-1" * 300, "東棟" * 60
+    row = docs(spark, f"東京都千代田区千代田{number}", f"大阪府北区1-1サクラビル{chain}12階です").orderBy("doc_id").select(pattern_spans("text").alias("s")).collect()
+    assert [s["value"] for s in row[0]["s"]] == [f"東京都千代田区千代田{number}"] and [s["value"] for s in row[1]["s"]] == [f"大阪府北区1-1サクラビル{chain}12階"]

@@ -126,7 +126,7 @@ def test_mapping_round_trip(spark, tmp_path):
     assert S.read_mapping(spark, str(path)).count() == 1
     with pytest.raises(S.NeedsPassphrase):
         S.parse_mapping(json.dumps({"_meta": {"version": 2}}) + "\nabc")
-    assert len(S.passphrase()) == 23 and not S.is_encrypted("junk")
+    assert set(S.PASSPHRASE_LETTERS) == set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") - set("ILO01") and len(S.passphrase()) == 23 and not S.is_encrypted("junk")
 
 
 def test_candidate_rows():
@@ -140,3 +140,13 @@ def test_whole_way(spark):
     terms = [(i, r["text"], r["entity_type"], False) for i, r in enumerate(detect(docs).collect())]
     out, _ = mask_checked(docs, terms)
     assert {r["doc_id"]: (r["text"], r["leaks"]) for r in out.collect()} == {1: ("{{COMPANY_1}}、{{PHONE_1}}", []), 2: ("", [])}
+
+
+def test_sheets_keep_to_themselves(spark):
+    """Values of one sheet are no terms in another; numbers go sheet by sheet; a null doc_id is a sheet, too."""
+    rows = [(2, 1, 1, "山田"), (2, 2, 2, "山田 佐藤"), (1, 1, 1, "佐藤"), (1, 2, 2, "山田 佐藤"), (None, 1, 1, "鈴木"), (None, 2, 2, "鈴木 佐藤")]
+    sheets = spark.createDataFrame(rows, "doc_id long, row int, col int, text string")
+    rules = spark.createDataFrame([(0, 1, 1, 1, "PERSON", [])], "ord int, col int, r1 int, r2 int, kind string, skip array<string>")
+    out = B.sanitise(sheets, [], rules)
+    assert {(r["doc_id"], r["row"]): r["text"] for r in out["cells"].collect()} == {(1, 1): "{{PERSON_1}}", (1, 2): "山田 {{PERSON_1}}", (2, 1): "{{PERSON_2}}", (2, 2): "{{PERSON_2}} 佐藤", (None, 1): "{{PERSON_3}}", (None, 2): "{{PERSON_3}} 佐藤"}
+    assert out["leaks"].count() == 0
