@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +113,65 @@ def test_toxicity(spark, awkward, nothing):
     assert awkward.select(T.toxicity(empty, F.col("text"), spark).alias("s")).where("s >= 0.5").count() == 0
 
 
+def brute_differences(train, text):
+    """Interpolated Kneser-Ney bigrams of both classes from plain dictionaries: per word, and of the best two words."""
+    plain = lambda t: [w.decode("utf8").lower().strip(T.EDGE) for w in (t or "").encode().split()]
+    pair, cont = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in train:
+        w = plain(t)
+        pair[y].update(set(zip(["<s>", *w], w)))
+    for y in (0, 1):
+        cont[y].update(b for _, b in pair[y])
+    words = {b for y in (0, 1) for b in cont[y]}
+    stem = lambda w: w[: T.STEM]
+    stems = [Counter(), Counter()]
+    for y in (0, 1):
+        for w, n in cont[y].items():
+            stems[y][stem(w)] += n
+    kept_pairs = {p for y in (0, 1) for p, n in pair[y].items() if n > 1}
+    total, context = [max(1, sum(c.values())) for c in cont], [Counter(), Counter()]
+    for y in (0, 1):
+        for (a, _), n in pair[y].items():
+            context[y][a] += n
+
+    def p_stem(y, s):
+        share = (stems[0][s] + stems[1][s]) / sum(sum(x.values()) for x in stems)
+        return (max(stems[y][s] - T.STEM_DISCOUNT, 0) + sum(min(n, T.STEM_DISCOUNT) for n in stems[y].values()) * share) / total[y]
+
+    free = [sum(min(n, T.DISCOUNT) for n in cont[y].values()) / total[y] for y in (0, 1)]
+
+    def p_word(y, w):
+        s = stem(w)
+        inside = (cont[0][w] + cont[1][w]) / (stems[0][s] + stems[1][s])
+        return max(cont[y][w] - T.DISCOUNT, 0) / total[y] + free[y] * p_stem(y, s) * inside
+
+    def p_pair(y, a, w):
+        n = context[y][a]
+        own = max(pair[y][a, w] - T.DISCOUNT, 0) / n if n and (a, w) in kept_pairs else 0
+        rest = 1 - sum(max(m - T.DISCOUNT, 0) / n for (x, v), m in pair[y].items() if x == a and (x, v) in kept_pairs) if n else 1
+        if w in words:
+            return own + rest * p_word(y, w)
+        return rest * (free[y] * p_stem(y, stem(w)) if stem(w) in stems[0] or stem(w) in stems[1] else 1)
+
+    w = plain(text)
+    gain = [math.log(p_pair(1, a, b)) - math.log(p_pair(0, a, b)) for a, b in zip(["<s>", *w], w)]
+    return (sum(gain) / len(gain), max([(a + b) / 2 for a, b in zip(gain, gain[1:])] or gain)) if w else (0.0, 0.0)
+
+
+def test_toxicity_matches_brute_force(spark):
+    rows = [(t, y) for _, t, y in toxic_corpus(5, 160)]
+    labelled = spark.createDataFrame(rows, "text string, label int").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))).collect()
+    models = T.fit(spark.createDataFrame(rows, "text string, label int"))
+    train = [(r["text"], r["label"]) for r in labelled if r["part"]]
+    texts = [t for t, _ in rows[:25]] + ["", "zorko zorkas unknownword", "Vilxum.", " \n"]
+    got = models.differences(pa.array(texts, pa.large_string()))
+    assert got == pytest.approx(np.array([brute_differences(train, t) for t in texts]), abs=1e-6)
+
+
 def test_labelled_sample_is_bounded(spark):
+    twice = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(2, None)], "doc_id long, text string")
+    assert T.labelled_sample(twice, spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")).count() == 2
+
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)] + [(None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     assert T.labelled_sample(docs, labels, bound=15).count() == 15
