@@ -8,10 +8,11 @@ counts that both classes share.  A word that is rare in either class so has the
 stem, and a rare stem is as likely in both classes.  Bigrams are counted in texts; those of one text
 only are left to the backoff.
 
-Log-likelihoods are compared per word, over the whole text and over its most toxic passage of
-``PASSAGE`` words, and the score is the logistic of the two differences.  Over the whole text alone
-the difference mostly tells the languages and topics of the classes apart; a few insults in a long
-text show in the passage.  The line of the logistic is fitted on labelled texts that gave no counts.
+Log-likelihoods are compared per word: over the whole text, over its most toxic passage of ``PASSAGE``
+words, and over that passage with words taken by themselves, which bigrams of copied texts don't
+sway.  The score is the logistic of the three differences, fitted on labelled texts that gave no
+counts.  Over the whole text alone the difference mostly tells the languages and topics of the
+classes apart; a few insults in a long text show in the passages.
 
 At most ``MAX_LABELLED`` labelled documents are used, those with the least hashes of their ids; that
 bounds the tables that are broadcast, too.
@@ -88,7 +89,7 @@ class Models:
 
     def __init__(self, words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
         both = lambda t, c: np.stack([t[f"{c}0"], t[f"{c}1"]], axis=1).astype(np.float64).reshape(-1, 2)
-        self.line = np.array([-10.0, 0.0, 0.0])
+        self.line = np.array([-10.0, 0.0, 0.0, 0.0])
         order = np.argsort(words["word"])
         self.word, stem, n = words["word"][order], words["stem"][order], both(words, "n")[order]
         self.stem, of = np.unique(stem, return_inverse=True)
@@ -129,10 +130,10 @@ class Models:
         return place, gain
 
     def gains(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per word of the texts the toxic less the ordinary log-probability after the word before, and row offsets."""
+        """Per word of the texts the toxic less the ordinary log-probability, after the word before and by itself, and row offsets."""
         codes, offsets, words = words_of(texts)
         if not len(codes):
-            return np.zeros(0), offsets
+            return np.zeros((2, 0)), offsets
         place, stem_gain = self.places(words)
         own = place[codes]
         before = np.full(len(own), len(self.word))
@@ -147,42 +148,45 @@ class Models:
             hit = known & (self.pair[at] == key)
             p[hit] += self.pair_own[at[hit]]
         p = np.where(known[:, None], p, free)
-        return np.log(p[:, 1]) - np.log(p[:, 0]) + np.where(known, 0.0, stem_gain[codes]), offsets
+        ratio = lambda x: np.log(x[:, 1]) - np.log(x[:, 0])
+        stem = np.where(known, 0.0, stem_gain[codes])
+        alone = np.append(ratio(self.words), [0.0, 0.0])[own]
+        return np.stack([ratio(p), alone]) + stem, offsets
 
     def differences(self, texts: pa.Array) -> np.ndarray:
-        """Per text the difference per word of the whole text, and of the passage where it is greatest; 0 without words."""
+        """Per text the difference per word of the whole text, of the passage where it is greatest, and so by single words; 0 without words."""
         gain, offsets = self.gains(texts)
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 3))
         n = np.diff(offsets)
         full = n > 0
         if not full.any():
             return out
-        out[full, 0] = row_sums(gain, offsets)[full] / n[full]
+        out[full, 0] = row_sums(gain[0], offsets)[full] / n[full]
+        total, size = gain.copy(), np.ones(gain.shape[1])
         last = np.repeat(offsets[1:], n)
-        total, size = gain.copy(), np.ones(len(gain))
         for k in range(1, PASSAGE):
-            inside = np.flatnonzero(np.arange(len(gain)) + k < last)
-            total[inside] += gain[inside + k]
+            inside = np.flatnonzero(np.arange(len(size)) + k < last)
+            total[:, inside] += gain[:, inside + k]
             size[inside] += 1
         # a passage that the text's end cuts short counts only in a text as short as that
         short = (size < PASSAGE) & (np.repeat(n, n) >= PASSAGE)
-        out[full, 1] = np.maximum.reduceat(np.where(short, -np.inf, total / size), offsets[:-1][full])
+        out[full, 1:] = np.maximum.reduceat(np.where(short, -np.inf, total / size), offsets[:-1][full], axis=1).T
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.line[0] + self.differences(texts) @ self.line[1:], -40, 40)))
 
     def fit_line(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of the label on the two differences, by Newton steps."""
+        """Logistic regression of the label on the differences, by Newton steps."""
         if len(set(y.tolist())) < 2:
             return
         m, s = x.mean(axis=0), x.std(axis=0)
         s[s == 0] = 1.0
         z = np.concatenate([np.ones((len(x), 1)), (x - m) / s], axis=1)
-        w = np.zeros(3)
+        w = np.zeros(4)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(3) * 0.01, z.T @ (y - p) - 0.01 * w)
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(4) * 0.01, z.T @ (y - p) - 0.01 * w)
             w += np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:
                 break
@@ -203,7 +207,7 @@ def fit(labelled: DataFrame) -> Models:
     contexts = counted.groupBy("before").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
     models = Models(column(words), column(contexts), column(counted.where("greatest(b0, b1) > 1").select("before", "word", "b0", "b1")))
     held = labelled.where(part == 0).select(differences_of(models, labelled.sparkSession)(F.col("text")).alias("x"), F.col("label").cast("double").alias("y")).toArrow()
-    models.fit_line(held.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 2), held.column("y").to_numpy())
+    models.fit_line(held.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 3), held.column("y").to_numpy())
     return models
 
 
@@ -212,8 +216,8 @@ def differences_of(models: Models, spark: SparkSession):
 
     @F.arrow_udf("array<double>")
     def apply(texts: pa.Array) -> pa.Array:
-        x = np.concatenate([np.zeros((0, 2)), *(shared.value.differences(some) for _, some in slices(texts))])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 2, pa.int32()), pa.array(x.ravel()))
+        x = np.concatenate([np.zeros((0, 3)), *(shared.value.differences(some) for _, some in slices(texts))])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 3, pa.int32()), pa.array(x.ravel()))
 
     return apply
 

@@ -114,7 +114,7 @@ def test_toxicity(spark, awkward, nothing):
 
 
 def brute_differences(train, text):
-    """Interpolated Kneser-Ney bigrams of both classes from plain dictionaries: per word, and of the best two words."""
+    """Interpolated Kneser-Ney bigrams of both classes from plain dictionaries: per word, of the best two words, and of those by single words."""
     plain = lambda t: [w.decode("utf8").lower().strip(T.EDGE) for w in (t or "").encode().split()]
     pair, cont = [Counter(), Counter()], [Counter(), Counter()]
     for t, y in train:
@@ -153,9 +153,14 @@ def brute_differences(train, text):
             return own + rest * p_word(y, w)
         return rest * (free[y] * p_stem(y, stem(w)) if stem(w) in stems[0] or stem(w) in stems[1] else 1)
 
+    def p_alone(y, w):
+        return p_word(y, w) if w in words else free[y] * p_stem(y, stem(w)) if stem(w) in stems[0] or stem(w) in stems[1] else 1
+
     w = plain(text)
     gain = [math.log(p_pair(1, a, b)) - math.log(p_pair(0, a, b)) for a, b in zip(["<s>", *w], w)]
-    return (sum(gain) / len(gain), max([(a + b) / 2 for a, b in zip(gain, gain[1:])] or gain)) if w else (0.0, 0.0)
+    alone = [math.log(p_alone(1, x)) - math.log(p_alone(0, x)) for x in w]
+    best = lambda g: max([(a + b) / 2 for a, b in zip(g, g[1:])] or g)
+    return (sum(gain) / len(gain), best(gain), best(alone)) if w else (0.0, 0.0, 0.0)
 
 
 def test_toxicity_matches_brute_force(spark):
