@@ -1,17 +1,18 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history).  The most frequent words are
-dealt to ``HEAD_CLASSES`` classes of ``SLOTS`` words each and are told apart by a second softmax;
-all other words belong to ``RARE`` classes by their shape and are told apart by their counts (plus
-one, with one type for all unseen words), so the probabilities of a history add up to 1.  Features
-are the word before, the word before that (skip) and the two together, hashed into rows of weights;
-unigram log-probabilities are the bias.  The weights are trained by gradient steps (Adagrad) in
-parallel over all training documents, in rounds; after each round the trainers' changes are summed
-in blocks and averaged.
+P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot).  Every word has a
+class and a slot in it.  The most frequent words are dealt to ``HEAD_CLASSES`` classes by frequency,
+one to a slot, so nothing is left for the third factor; all other words, whatever their number, have
+one of ``RARE`` classes by their shape and a slot by their hash, and share it by their counts (plus
+one, with one type for all unseen words), so the probabilities of a history add up to 1.  Features of
+both softmaxes are the word before, the word before that (skip) and, for the class, the two together:
+words of any frequency, hashed into rows of weights; unigram log-probabilities are the bias.  The
+weights are trained by gradient steps (Adagrad) in parallel over all training documents, in rounds;
+after each round the trainers' changes are summed in a tree and averaged.
 
 Counts cover all training documents.  The counts of the ``KNOWN`` most frequent words are broadcast
-(a fixed bound), those of other words meet their occurrences in a join.  Words are known by 64-bit
-hashes whose low four bits are the shape.
+(a fixed bound), those of other words meet their occurrences in a join, whose crowded words Spark can
+split.  Words are known by 64-bit hashes whose low four bits are the shape.
 """
 
 from __future__ import annotations
@@ -20,28 +21,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumiveil.llm.common import read_table, release, row_sums, settle, slices, words_of
 
-HEAD_CLASSES, SLOTS, RARE = 20, 64, 12
+HEAD_CLASSES, RARE, SLOTS = 36, 12, 32
 CLASSES = HEAD_CLASSES + RARE
 HEAD = HEAD_CLASSES * SLOTS
-START = HEAD + RARE
-CONTEXTS = START + 1
-PAIR_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
-CLASS_ROWS = 2 * CONTEXTS + PAIR_ROWS
-#: Rows of class weights are half as wide as those of slot weights, and are kept two by two.
-PAIRED = CLASS_ROWS // 2
-ROWS = PAIRED + SLOT_ROWS
+#: Rows of class weights for each of the three features, and of slot weights for both of theirs.
+CONTEXT_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
+CLASS_ROWS = 3 * CONTEXT_ROWS
+#: Stands for the words before a text.
+START = np.uint32(0x9E3779B1)
 KNOWN = 1 << 20
 CACHED = 500_000
 BLOCKS = 128
 BATCH = 4096
 ROUNDS = 2
 RATE = 0.15
-TOKENS_PER_TRAINER = 4_000_000
+TOKENS_PER_TRAINER = 16_000_000
+#: Trainers whose changes one sum takes in.
+FAN = 16
 SLICE = 6_000_000
 END = xxhash.xxh64_intdigest(b"\n") & ~15
 END -= (END >> 63) << 64
@@ -79,89 +81,98 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return wide, offsets + rows, np.append(hashes, END)
 
 
+def mixed(a: np.ndarray, b: np.ndarray, m: int, n: int, rows: int) -> np.ndarray:
+    """A row for a pair of 32-bit numbers."""
+    x = a * np.uint32(m) + b * np.uint32(n)
+    x ^= x >> np.uint32(15)
+    return ((x * np.uint32(0x85EBCA6B)) >> np.uint32(32 - rows.bit_length() + 1)).astype(np.int32)
+
+
 class Model:
     """Counts of the known words, biases and weights."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, rare_total: np.ndarray, rare_types: np.ndarray):
+        """``rare_total`` and ``rare_types`` are those of all words, by shape and slot."""
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.types = total, types
         rank = np.lexsort((self.hashes, -self.counts))[:HEAD]
         self.head = np.full(len(self.hashes), -1, np.int32)
         self.head[rank] = np.arange(len(rank))
-        head_counts = np.zeros(HEAD)
-        head_counts[: len(rank)] = self.counts[rank]
-        shapes = self.hashes[rank] & 15
-        self.rare_total = rare_total - np.bincount(shapes, weights=self.counts[rank], minlength=RARE)
-        self.rare_types = rare_types - np.bincount(shapes, minlength=RARE)
-        mass = np.concatenate([head_counts.reshape(HEAD_CLASSES, SLOTS).sum(axis=1), self.rare_total + 1.0])
+        inside = np.zeros((CLASSES, SLOTS))
+        inside[:HEAD_CLASSES].ravel()[: len(rank)] = self.counts[rank]
+        place = (self.hashes[rank] & 15) * SLOTS + (self.hashes[rank] >> 4 & SLOTS - 1)
+        gone = lambda w: np.bincount(place, weights=w, minlength=RARE * SLOTS).reshape(RARE, SLOTS)
+        #: By shape and slot: counts and types of the words that share the slot, and one for the unseen.
+        self.rare = rare_total - gone(self.counts[rank]) + rare_types - gone(np.ones(len(rank))) + 1
+        inside[HEAD_CLASSES:] = rare_total - gone(self.counts[rank]) + 1 / SLOTS
+        mass = inside.sum(axis=1)
         self.class_bias = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
-        inside = head_counts.reshape(HEAD_CLASSES, SLOTS)
-        self.slot_bias = np.where(inside > 0, np.log(np.maximum(inside, 1) / np.maximum(inside.sum(axis=1, keepdims=True), 1)), -30).astype(np.float32)
-        self.weights = np.zeros((ROWS, SLOTS), np.float32)
+        self.slot_bias = np.where(inside > 0, np.log(np.maximum(inside, 1e-9) / np.maximum(mass, 1e-9)[:, None]), -30).astype(np.float32)
+        self.classes = np.zeros((CLASS_ROWS, CLASSES), np.float32)
+        self.slots = np.zeros((SLOT_ROWS, SLOTS), np.float32)
 
-    def look_up(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: its symbol (head word or HEAD + shape) and its count (-1 where not among the known)."""
+    def look_up(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: its class, its slot, the number that it is as history, and its count (-1 where not among the known)."""
         count = np.full(len(hashes), -1, np.int64)
-        symbol = HEAD + (hashes & 15)
+        kind, slot = HEAD_CLASSES + (hashes & 15), hashes >> 4 & SLOTS - 1
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
             count[hit] = self.counts[at[hit]]
             head = np.where(hit, self.head[at], -1)
-            symbol = np.where(head >= 0, head, symbol)
-        return symbol[codes].astype(np.int32), count[codes]
-
-    def history(self, symbol: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols one and two tokens before, within each row."""
-        one, two = np.full(len(symbol), START, np.int32), np.full(len(symbol), START, np.int32)
-        place = np.arange(len(symbol)) - np.repeat(offsets[:-1], np.diff(offsets))
+            kind, slot = np.where(head >= 0, head // SLOTS, kind), np.where(head >= 0, head % SLOTS, slot)
+        past = (hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32)
+        return kind.astype(np.int32)[codes], slot.astype(np.int32)[codes], past[codes], count[codes]
+
+    def history(self, past: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words one and two tokens before, within each row."""
+        one, two = np.full(len(past), START), np.full(len(past), START)
+        place = np.arange(len(past)) - np.repeat(offsets[:-1], np.diff(offsets))
         later = np.flatnonzero(place >= 1)
-        one[later] = symbol[later - 1]
+        one[later] = past[later - 1]
         later = np.flatnonzero(place >= 2)
-        two[later] = symbol[later - 2]
+        two[later] = past[later - 2]
         return one, two
 
-    def forward(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """Rows of the features, both softmaxes and what they give the tokens' classes and slots."""
-        w, inside = self.weights[:PAIRED].reshape(CLASS_ROWS, CLASSES), self.weights[PAIRED:]
-        rows = (one, CONTEXTS + two, 2 * CONTEXTS + ((one.astype(np.uint32) * np.uint32(2654435761) + two.astype(np.uint32) * np.uint32(40503) >> np.uint32(7)) & np.uint32(PAIR_ROWS - 1)).astype(np.int32))
-        is_head = symbol < HEAD
-        kind = np.where(is_head, symbol // SLOTS, HEAD_CLASSES - HEAD + symbol)
-        logits = self.class_bias + w[rows[0]]
-        logits += w[rows[1]]
-        logits += w[rows[2]]
-        p = softmax(logits)
-        head = np.flatnonzero(is_head)
-        own = kind[head]
-        mixed = own.astype(np.uint32) * np.uint32(0x9E3779B1)
-        slot_rows = tuple(((mixed + c[head].astype(np.uint32) * np.uint32(m) >> np.uint32(9)) & np.uint32(SLOT_ROWS - 1)).astype(np.int32) for c, m in ((one, 2246822519), (two, 3266489917)))
-        inner = self.slot_bias[own] + inside[slot_rows[0]]
-        inner += inside[slot_rows[1]]
-        return rows, kind, p, head, slot_rows, symbol[head] % SLOTS, softmax(inner)
-
-    def log_probability(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each token's class and, for head words, slot probability."""
-        out = np.empty(len(symbol))
-        for a in range(0, len(symbol), BATCH):
+    def class_rows(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        zero = np.zeros_like(one)
+        return mixed(one, zero, 0x9E3779B1, 0, CONTEXT_ROWS), mixed(two, zero, 0xC2B2AE35, 0, CONTEXT_ROWS) + CONTEXT_ROWS, mixed(one, two, 0x9E3779B1, 0x27D4EB2F, CONTEXT_ROWS) + 2 * CONTEXT_ROWS
+
+    def slot_rows(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        k = kind.astype(np.uint32)
+        return mixed(k, one, 0x9E3779B1, 0x85EBCA77, SLOT_ROWS), mixed(k, two, 0x9E3779B1, 0xC2B2AE3D, SLOT_ROWS)
+
+    def forward(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """Rows of the features and both softmaxes, the second within the token's class."""
+        rows = self.class_rows(one, two)
+        logits = self.class_bias + self.classes[rows[0]]
+        logits += self.classes[rows[1]]
+        logits += self.classes[rows[2]]
+        slot_rows = self.slot_rows(kind, one, two)
+        inner = self.slot_bias[kind] + self.slots[slot_rows[0]]
+        inner += self.slots[slot_rows[1]]
+        return rows, softmax(logits), slot_rows, softmax(inner)
+
+    def log_probability(self, kind: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token's class and slot."""
+        out = np.empty(len(kind))
+        for a in range(0, len(kind), BATCH):
             s = slice(a, a + BATCH)
-            _, kind, p, head, _, slot, q = self.forward(symbol[s], one[s], two[s])
-            gain = np.log(p[np.arange(len(kind)), kind])
-            gain[head] += np.log(q[np.arange(len(head)), slot])
-            out[s] = gain
+            _, p, _, q = self.forward(kind[s], one[s], two[s])
+            at = np.arange(len(p))
+            out[s] = np.log(p[at, kind[s]] * q[at, slot[s]])
         return out
 
-    def train(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
+    def train(self, kind: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
         """One pass of gradient steps, a batch of tokens at a time; ``squares`` are those of class and slot rows."""
-        classes, inside = self.weights[:PAIRED].reshape(CLASS_ROWS, CLASSES), self.weights[PAIRED:]
-        for a in range(0, len(symbol), BATCH):
+        for a in range(0, len(kind), BATCH):
             s = slice(a, a + BATCH)
-            rows, kind, p, head, slot_rows, slot, q = self.forward(symbol[s], one[s], two[s])
-            p[np.arange(len(kind)), kind] -= 1
-            q[np.arange(len(head)), slot] -= 1
-            for r, g, w, sq in (*((r, p, classes, squares[0]) for r in rows), *((r, q, inside, squares[1]) for r in slot_rows)):
-                if not len(r):
-                    continue
+            rows, p, slot_rows, q = self.forward(kind[s], one[s], two[s])
+            at = np.arange(len(p))
+            p[at, kind[s]] -= 1
+            q[at, slot[s]] -= 1
+            for r, g, w, sq in (*((r, p, self.classes, squares[0]) for r in rows), *((r, q, self.slots, squares[1]) for r in slot_rows)):
                 order = np.argsort(r)
                 ranked = r[order]
                 last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
@@ -194,18 +205,25 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _known(vocabulary: DataFrame) -> pa.Table:
-    """The words whose counts are broadcast: all of at least such a count that they are ``KNOWN`` at most."""
-    least, so_far = None, 0
-    for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).toArrow().to_pylist():
-        if so_far + r["count"] > KNOWN:
+def _known(vocabulary: DataFrame) -> tuple[pa.Table, Column]:
+    """The words whose counts are broadcast, at most about ``KNOWN``, and what holds for all others.
+
+    They are the words above a count; of the words of that count, those whose hash falls in the share
+    that there is room for.
+    """
+    level, room = 0, KNOWN
+    for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if r["count"] > room:
+            level = r["n"]
             break
-        least, so_far = r["n"], so_far + r["count"]
-    return vocabulary.where(F.col("n") >= least).toArrow() if least is not None else vocabulary.limit(0).toArrow()
+        room -= r["count"]
+    share = int(0.95 * room / r["count"] * (1 << 20)) if level else 0
+    known = (F.col("n") > level) | ((F.col("n") == level) & (F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < share))
+    return vocabulary.where(known).toArrow(), ~known
 
 
 def train(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the settled table of all training tokens' counts.
+    """The model, and the settled table of the training tokens whose counts it doesn't hold.
 
     Null and empty texts are an end token alone; repeated rows are learnt as often as they occur.
     Without any row all words are unseen.
@@ -213,63 +231,91 @@ def train(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text"))
     vocabulary = settle(count_words(docs))
-    sums = {r["shape"]: r for r in vocabulary.groupBy(F.expr("hash & 15").alias("shape")).agg(F.sum("n").alias("n"), F.count("n").alias("types")).collect()}
-    rare_total = np.array([sums[k]["n"] if k in sums else 0 for k in range(RARE)], float)
-    rare_types = np.array([sums[k]["types"] if k in sums else 0 for k in range(RARE)], float)
-    known = _known(vocabulary)
-    model = Model(known.column("hash").to_numpy(), known.column("n").to_numpy(), int(rare_total.sum()), int(rare_types.sum()), rare_total, rare_types)
+    place = (F.col("hash").bitwiseAND(F.lit(15)) * SLOTS + F.shiftright("hash", 4).bitwiseAND(F.lit(SLOTS - 1))).alias("place")
+    rare_total, rare_types = np.zeros(RARE * SLOTS), np.zeros(RARE * SLOTS)
+    for r in vocabulary.groupBy(place).agg(F.sum("n").alias("n"), F.count("n").alias("types")).collect():  # a row for each of RARE * SLOTS at most
+        rare_total[r["place"]], rare_types[r["place"]] = r["n"], r["types"]
+    known, others = _known(vocabulary)
+    model = Model(known.column("hash").to_numpy(), known.column("n").to_numpy(), int(rare_total.sum()), int(rare_types.sum()), rare_total.reshape(RARE, SLOTS), rare_types.reshape(RARE, SLOTS))
     trainers = max(6, -(-model.total // TOKENS_PER_TRAINER))
     part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
         learn, add_up = _trainer(now)
-        changes = docs.where(part == k).coalesce(trainers).mapInArrow(learn, "block int, change binary, weight binary")
+        sums, groups = docs.where(part == k).coalesce(trainers).mapInArrow(learn, SUMS), trainers
+        while groups > 1:  # a sum takes in FAN others, so none grows with the trainers
+            groups = -(-groups // FAN)
+            sums = sums.withColumn("giver", F.floor(F.col("giver") / FAN).cast("int")).repartition(min(groups * BLOCKS, trainers * 4), "giver", "block").mapInArrow(add_up, SUMS)
         # one row a block: as large as the weights, whatever the corpus
-        for r in changes.repartition(BLOCKS // 8, "block").mapInArrow(add_up, "block int, change binary").toArrow().to_pylist():
-            rows = slice(r["block"] * ROWS // BLOCKS, (r["block"] + 1) * ROWS // BLOCKS)
-            model.weights[rows] += np.frombuffer(r["change"], np.float32).reshape(-1, SLOTS)
+        for r in sums.toArrow().to_pylist():
+            change, weight = np.frombuffer(r["change"], np.float32), np.frombuffer(r["weight"], np.float32)
+            for w, c, n in zip((model.classes, model.slots), _split(change), _split_rows(weight)):
+                rows = _rows(len(w), r["block"])
+                w[rows] += c / np.maximum(n, 1e-9)[:, None]
         now.unpersist()
-    return model, vocabulary
+    return model, vocabulary.where(others)
+
+
+SUMS = "giver int, block int, change binary, weight binary"
+_PER_BLOCK = (CLASS_ROWS // BLOCKS, SLOT_ROWS // BLOCKS)
+
+
+def _rows(n: int, block: int) -> slice:
+    return slice(block * n // BLOCKS, (block + 1) * n // BLOCKS)
+
+
+def _split(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's class rows and slot rows from the flat form that travels."""
+    n = _PER_BLOCK[0] * CLASSES
+    return flat[:n].reshape(-1, CLASSES), flat[n:].reshape(-1, SLOTS)
+
+
+def _split_rows(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return flat[: _PER_BLOCK[0]], flat[_PER_BLOCK[0] :]
 
 
 def _trainer(now):
-    def blocks():
-        return [(k, slice(k * ROWS // BLOCKS, (k + 1) * ROWS // BLOCKS)) for k in range(BLOCKS)]
+    def sent(giver: int, block: int, change: list[np.ndarray], weight: list[np.ndarray], kind: type) -> pa.RecordBatch:
+        flat = np.concatenate([c.ravel() for c in change]).astype(kind).tobytes()
+        columns = [pa.array([giver], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.binary()), pa.array([np.concatenate(weight).astype(np.float32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["giver", "block", "change", "weight"])
 
     def learn(batches):
-        """A trainer's change of the weights, and by row whether it has learnt anything, in blocks."""
+        """A trainer's change of the weights, each row times how much was learnt of it, and these weights, in blocks."""
         model: Model = now.value
-        first = model.weights
-        model.weights = first.copy()
+        first = model.classes, model.slots
+        model.classes, model.slots = first[0].copy(), first[1].copy()
         squares = np.zeros(CLASS_ROWS, np.float32), np.zeros(SLOT_ROWS, np.float32)
         try:
             for batch in batches:
                 for _, some in slices(batch.column(0), SLICE):
                     codes, offsets, hashes = tokens(some)
-                    symbol, _ = model.look_up(codes, hashes)
-                    model.train(symbol, *model.history(symbol, offsets), squares)
+                    kind, slot, past, _ = model.look_up(codes, hashes)
+                    model.train(kind, slot, *model.history(past, offsets), squares)
                 release()
-            change, used = model.weights - first, np.concatenate([squares[0].reshape(-1, 2).sum(axis=1), squares[1]])
+            change = model.classes - first[0], model.slots - first[1]
         finally:
-            model.weights = first  # the worker may take another task
-        for k, rows in blocks():
-            if used[rows].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([change[rows].astype(np.float16).tobytes()], pa.binary()), pa.array([used[rows].tobytes()], pa.binary())], names=["block", "change", "weight"])
+            model.classes, model.slots = first  # the worker may take another task
+        giver = TaskContext.get().partitionId()
+        weight = [np.sqrt(x) for x in squares]
+        for k in range(BLOCKS):
+            w = [x[_rows(len(x), k)] for x in weight]
+            if any(x.any() for x in w):
+                yield sent(giver, k, [c[_rows(len(c), k)] * x[:, None] for c, x in zip(change, w)], w, np.float32)
 
     def add_up(batches):
-        """Means of the trainers' changes, by how much each has seen of a row, one block's sum at a time."""
-        sums: dict[int, list[np.ndarray]] = {}
+        """Sums of changes and weights by giver and block."""
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for k, change, weight in zip(*(c.to_pylist() for c in batch.columns)):
-                w = np.sqrt(np.frombuffer(weight, np.float32))[:, None]
-                c = np.frombuffer(change, np.float16).astype(np.float32).reshape(-1, SLOTS) * w
-                if k in sums:
-                    sums[k][0] += c
-                    sums[k][1] += w
+            for giver, block, change, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(change, np.float32), np.frombuffer(weight, np.float32)
+                if (giver, block) in sums:
+                    for x, y in zip(sums[giver, block], own):
+                        x += y
                 else:
-                    sums[k] = [c, w.copy()]
-        for k, (c, w) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(c / np.maximum(w, 1e-9)).astype(np.float32).tobytes()], pa.binary())], names=["block", "change"])
+                    sums[giver, block] = [x.copy() for x in own]
+        for (giver, block), (change, weight) in sums.items():
+            yield sent(giver, block, [change], [weight], np.float32)
 
     return learn, add_up
 
@@ -292,13 +338,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
         parts, hashes, times, ends = [], [], [], [0]
         for _, some in slices(texts, SLICE):
             codes, offsets, own = tokens(some)
-            symbol, count = m.look_up(codes, own)
-            gain = m.log_probability(symbol, *m.history(symbol, offsets)) / LN10
+            kind, slot, past, count = m.look_up(codes, own)
+            gain = m.log_probability(kind, slot, *m.history(past, offsets)) / LN10
             seen = count >= 0
             base = np.where(seen, np.log10((np.maximum(count, 0) + 1) / floor), 0.0)
-            rare = symbol >= HEAD
-            k = np.where(rare, symbol - HEAD, 0)
-            gain += np.where(rare & seen, np.log10((np.maximum(count, 0) + 1) / (m.rare_total + m.rare_types + 1)[k]), 0.0)
+            rare = kind >= HEAD_CLASSES
+            gain += np.where(rare & seen, np.log10((np.maximum(count, 0) + 1) / m.rare[np.where(rare, kind - HEAD_CLASSES, 0), slot]), 0.0)
             parts.append((np.diff(offsets), row_sums(seen, offsets), row_sums(base, offsets), row_sums(gain, offsets)))
             at = np.flatnonzero(~seen)
             row = np.searchsorted(offsets, at, "right") - 1
@@ -315,10 +360,9 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
 
     scored = settle(docs.select(F.struct(*[c.alias(k) for k, c in keep.items()]).alias("kept"), head(F.col(text)).alias("h"))).withColumn("row", F.monotonically_increasing_id())
     floor = float(model.total + model.types + 1)
-    inside = F.element_at(F.array(*[F.lit(float(x)) for x in model.rare_total + model.rare_types + 1]), (F.col("hash").bitwiseAND(F.lit(15)) + 1).cast("int"))
+    inside = F.element_at(F.lit(model.rare.ravel().tolist()), (F.col("hash").bitwiseAND(F.lit(15)) * SLOTS + F.shiftright("hash", 4).bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int"))
     tail = scored.select("row", F.explode(F.arrays_zip(F.col("h.hashes").alias("hash"), F.col("h.times").alias("times"))).alias("x")).select("row", "x.hash", "x.times")
-    least = int(model.counts.min()) if len(model.counts) else 1 << 62
-    met = tail.join(vocabulary.where(F.col("n") < least), "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = tail.join(vocabulary, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(floor))).alias("base"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / inside)).alias("gain"))
     whole = scored.select("row", "kept", "h.n_tokens", F.col("h.n_known").alias("k"), F.col("h.base").alias("b"), F.col("h.score").alias("s")).join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

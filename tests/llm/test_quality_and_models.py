@@ -206,14 +206,70 @@ def test_language_model(spark, small, awkward, known, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_probability(model, counts, word, one, two):
+    """P(word | history) of a trained model, a word at a time, from its weights and all counts."""
+    hashed = lambda w: X.tokens(pa.array([w], pa.large_string()))[2][:1] if w != "\n" else np.array([X.END])
+    past = lambda w: np.array([X.START]) if w is None else model.look_up(np.zeros(1, int), hashed(w))[2]
+    kind, slot, _, _ = (int(x[0]) for x in model.look_up(np.zeros(1, int), hashed(word)))
+    one, two = past(one), past(two)
+    logits = model.class_bias.astype(float) + sum(model.classes[r[0]].astype(float) for r in model.class_rows(one, two))
+    inner = model.slot_bias[kind].astype(float) + sum(model.slots[r[0]].astype(float) for r in model.slot_rows(np.array([kind]), one, two))
+    share = lambda x, k: math.exp(x[k]) / sum(math.exp(v) for v in x)
+    p = share(logits, kind) * share(inner, slot)
+    if kind >= X.HEAD_CLASSES:
+        p *= (counts[word] + 1) / model.rare[kind - X.HEAD_CLASSES, slot]
+    return p
+
+
+@pytest.mark.parametrize("known", [X.KNOWN, 300])
+def test_language_model_score_matches_plain_one(spark, small, known, monkeypatch):
+    monkeypatch.setattr(X, "KNOWN", known)
+    docs = small.select("doc_id", "text").orderBy("doc_id").limit(60)
+    source = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    learnt = docs.where("doc_id % 3 <> 0")
+    model, others = X.train(learnt)
+    counts = Counter(w for i, t in source if i % 3 for w in ngram_tokens(t))
+    got = {r["doc_id"]: r["score"] for r in X.score(docs, model, others, keep={"doc_id": F.col("doc_id")}).collect()}
+    short = sorted(source, key=lambda r: len(r[1] or ""))[:12]
+    assert len({i % 3 == 0 for i, _ in short}) == 2
+    for i, t in short:
+        w = ngram_tokens(t)
+        plain = sum(math.log10(plain_probability(model, counts, x, w[k - 1] if k else None, w[k - 2] if k > 1 else None)) for k, x in enumerate(w))
+        assert got[i] == pytest.approx(plain, rel=1e-4)
+
+
 def test_language_model_adds_up_to_one(small):
-    model, vocabulary = X.train(small.limit(60))
-    one, two = np.array([3, X.START, X.HEAD + 2], np.int32), np.array([5, X.START, 1], np.int32)
-    _, _, p, *_ = model.forward(np.zeros(3, np.int32), one, two)
-    assert p.sum(axis=1) == pytest.approx([1, 1, 1], abs=1e-4)
-    for k in range(0, X.HEAD_CLASSES, 7):
-        inner = [np.exp(model.log_probability(np.full(X.SLOTS, 0, np.int32) + k * X.SLOTS + np.arange(X.SLOTS, dtype=np.int32), np.full(X.SLOTS, 3, np.int32), np.full(X.SLOTS, 5, np.int32)))]
-        assert np.sum(inner) == pytest.approx(p[0, k], abs=1e-4)
+    docs = small.limit(60)
+    model, _ = X.train(docs)
+    counts = Counter(w for r in docs.collect() for w in ngram_tokens(r["text"]))
+    words = list(counts)
+    one, two = words[3], words[70]
+    seen = sum(plain_probability(model, counts, w, one, two) for w in words)
+    # what the unseen words of every slot have, one type each
+    a, b = (model.look_up(np.zeros(1, int), X.tokens(pa.array([w], pa.large_string()))[2][:1])[2] for w in (one, two))
+    kind = np.arange(X.CLASSES, dtype=np.int32)
+    _, p, _, q = model.forward(kind, np.repeat(a, X.CLASSES), np.repeat(b, X.CLASSES))
+    unseen = (p[0, X.HEAD_CLASSES :, None] * q[X.HEAD_CLASSES :] / model.rare).sum()
+    assert seen + unseen == pytest.approx(1, abs=1e-3)
+
+
+def test_known_words_are_bounded_and_never_none(spark, monkeypatch):
+    monkeypatch.setattr(X, "KNOWN", 100)
+    once = spark.createDataFrame([(i * 7919, 1) for i in range(5000)], "hash long, n long")
+    known, others = X._known(once)
+    assert 50 < known.num_rows <= 110 and once.where(others).count() == 5000 - known.num_rows
+    known, others = X._known(once.union(spark.createDataFrame([(-i, 1 + i) for i in range(1, 31)], "hash long, n long")))
+    assert 50 < known.num_rows <= 110 and known.column("n").to_pylist().count(1) == known.num_rows - 30
+
+
+def test_sums_go_through_a_tree(spark, small, monkeypatch):
+    monkeypatch.setattr(X, "TOKENS_PER_TRAINER", 2_000)
+    docs = small.repartition(12).cache()
+    trees = []
+    for fan in (2, 64):
+        monkeypatch.setattr(X, "FAN", fan)
+        trees.append(X.train(docs)[0])
+    assert trees[0].classes == pytest.approx(trees[1].classes, abs=1e-3) and abs(trees[0].classes).max() > 0.01
 
 
 def test_language_model_of_nothing(nothing, awkward):
