@@ -17,6 +17,8 @@ split.  Words are known by 64-bit hashes whose low four bits are the shape.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,17 +33,21 @@ HEAD_CLASSES, RARE, SLOTS = 36, 12, 32
 CLASSES = HEAD_CLASSES + RARE
 HEAD = HEAD_CLASSES * SLOTS
 #: Rows of class weights for each of the three features, and of slot weights for both of theirs.
-CONTEXT_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
+CONTEXT_ROWS, SLOT_ROWS = 1 << 15, 1 << 16
 CLASS_ROWS = 3 * CONTEXT_ROWS
+#: The most frequent words have rows of their own as history; the others share the rest by their hash.
+OWN = 1 << 13
 #: Stands for the words before a text.
-START = np.uint32(0x9E3779B1)
+START = np.uint32(OWN - 1)
 KNOWN = 1 << 20
 CACHED = 500_000
 BLOCKS = 128
 BATCH = 4096
 ROUNDS = 2
-RATE = 0.15
-TOKENS_PER_TRAINER = 16_000_000
+RATE = 0.3
+#: What the sum of squares of a row begins with: rows that have seen little move little.
+GROUND = 1.0
+TOKENS_PER_TRAINER = 8_000_000
 #: Trainers whose changes one sum takes in.
 FAN = 16
 SLICE = 6_000_000
@@ -99,6 +105,9 @@ class Model:
         rank = np.lexsort((self.hashes, -self.counts))[:HEAD]
         self.head = np.full(len(self.hashes), -1, np.int32)
         self.head[rank] = np.arange(len(rank))
+        known = np.lexsort((self.hashes, -self.counts))[: OWN - 1]
+        self.past = (self.hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32) | np.uint32(1 << 31)
+        self.past[known] = np.arange(len(known))
         inside = np.zeros((CLASSES, SLOTS))
         inside[:HEAD_CLASSES].ravel()[: len(rank)] = self.counts[rank]
         place = (self.hashes[rank] & 15) * SLOTS + (self.hashes[rank] >> 4 & SLOTS - 1)
@@ -116,13 +125,14 @@ class Model:
         """Per token: its class, its slot, the number that it is as history, and its count (-1 where not among the known)."""
         count = np.full(len(hashes), -1, np.int64)
         kind, slot = HEAD_CLASSES + (hashes & 15), hashes >> 4 & SLOTS - 1
+        past = (hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32) | np.uint32(1 << 31)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
             count[hit] = self.counts[at[hit]]
             head = np.where(hit, self.head[at], -1)
             kind, slot = np.where(head >= 0, head // SLOTS, kind), np.where(head >= 0, head % SLOTS, slot)
-        past = (hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32)
+            past[hit] = self.past[at[hit]]
         return kind.astype(np.int32)[codes], slot.astype(np.int32)[codes], past[codes], count[codes]
 
     def history(self, past: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +146,8 @@ class Model:
         return one, two
 
     def class_rows(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        zero = np.zeros_like(one)
-        return mixed(one, zero, 0x9E3779B1, 0, CONTEXT_ROWS), mixed(two, zero, 0xC2B2AE35, 0, CONTEXT_ROWS) + CONTEXT_ROWS, mixed(one, two, 0x9E3779B1, 0x27D4EB2F, CONTEXT_ROWS) + 2 * CONTEXT_ROWS
+        single = [np.where(x < OWN, x, OWN + mixed(x, x, 0x9E3779B1, 0, CONTEXT_ROWS) % (CONTEXT_ROWS - OWN)).astype(np.int32) for x in (one, two)]
+        return single[0], single[1] + CONTEXT_ROWS, mixed(one, two, 0x9E3779B1, 0x27D4EB2F, CONTEXT_ROWS) + 2 * CONTEXT_ROWS
 
     def slot_rows(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         k = kind.astype(np.uint32)
@@ -180,7 +190,7 @@ class Model:
                 step = np.cumsum(g[order], axis=0)[last]  # then differences: sums of equal rows
                 step[1:] -= step[:-1].copy()
                 sq[at] += np.einsum("ij,ij->i", step, step) / step.shape[1]
-                w[at] -= (RATE / np.sqrt(sq[at] + 1))[:, None] * step
+                w[at] -= (RATE / np.sqrt(sq[at] + GROUND))[:, None] * step
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -242,10 +252,12 @@ def train(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
         learn, add_up = _trainer(now)
+        first = True
         sums, groups = docs.where(part == k).coalesce(trainers).mapInArrow(learn, SUMS), trainers
         while groups > 1:  # a sum takes in FAN others, so none grows with the trainers
             groups = -(-groups // FAN)
-            sums = sums.withColumn("giver", F.floor(F.col("giver") / FAN).cast("int")).repartition(min(groups * BLOCKS, trainers * 4), "giver", "block").mapInArrow(add_up, SUMS)
+            sums = sums.withColumn("giver", F.floor(F.col("giver") / FAN).cast("int")).repartition(min(groups * BLOCKS, trainers * 4), "giver", "block").mapInArrow(functools.partial(add_up, first), SUMS)
+            first = False
         # one row a block: as large as the weights, whatever the corpus
         for r in sums.toArrow().to_pylist():
             change, weight = np.frombuffer(r["change"], np.float32), np.frombuffer(r["weight"], np.float32)
@@ -281,7 +293,7 @@ def _trainer(now):
         return pa.RecordBatch.from_arrays(columns, names=["giver", "block", "change", "weight"])
 
     def learn(batches):
-        """A trainer's change of the weights, each row times how much was learnt of it, and these weights, in blocks."""
+        """A trainer's change of the weights in half precision, and how much was learnt of each row, in blocks."""
         model: Model = now.value
         first = model.classes, model.slots
         model.classes, model.slots = first[0].copy(), first[1].copy()
@@ -301,14 +313,17 @@ def _trainer(now):
         for k in range(BLOCKS):
             w = [x[_rows(len(x), k)] for x in weight]
             if any(x.any() for x in w):
-                yield sent(giver, k, [c[_rows(len(c), k)] * x[:, None] for c, x in zip(change, w)], w, np.float32)
+                yield sent(giver, k, [c[_rows(len(c), k)] for c in change], w, np.float16)
 
-    def add_up(batches):
-        """Sums of changes and weights by giver and block."""
+    def add_up(first: bool, batches):
+        """Sums by giver and block of what was learnt and of changes times that; ``first``: of trainers, else of sums."""
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             for giver, block, change, weight in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(change, np.float32), np.frombuffer(weight, np.float32)
+                own = np.frombuffer(change, np.float16 if first else np.float32).astype(np.float32), np.frombuffer(weight, np.float32)
+                if first:
+                    for c, n in zip(_split(own[0]), _split_rows(own[1])):
+                        c *= n[:, None]
                 if (giver, block) in sums:
                     for x, y in zip(sums[giver, block], own):
                         x += y
