@@ -48,10 +48,14 @@ def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 #: Stands before the first word of a text.
 START = -1
+STEM_ROW = 2
 
 
 def bigrams(labelled: DataFrame) -> DataFrame:
-    """before, word, stem, b0, b1: the number of texts that have a word after another, by class."""
+    """before, word, is_stem, b0, b1: the number of texts that have a word after another, by class.
+
+    Where is_stem holds, before is the word's stem: each word has one such row.
+    """
 
     def pairs(batches):
         for batch in batches:
@@ -73,11 +77,12 @@ def bigrams(labelled: DataFrame) -> DataFrame:
                 rest, code = np.divmod(key, max(1, len(words)))
                 kind, prev = np.divmod(rest, len(words) + 1)
                 ends = np.append(word, START)
-                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(ends[prev]), pa.array(word[code]), pa.array(stem[code]), pa.array(n)], names=["label", "before", "word", "stem", "n"])
+                columns = np.append(kind, np.full(len(word), STEM_ROW)).astype(np.int32), np.append(ends[prev], stem), np.append(word[code], word), np.append(n, np.ones(len(word), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "before", "word", "n"])
 
-    seen = labelled.select("text", "label").mapInArrow(pairs, "label int, before long, word long, stem long, n long")
+    seen = labelled.select("text", "label").mapInArrow(pairs, "label int, before long, word long, n long")
     by = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"b{c}")
-    return seen.groupBy("before", "word", "stem").agg(by(0), by(1))
+    return seen.groupBy((F.col("label") == STEM_ROW).alias("is_stem"), "before", "word").agg(by(0), by(1))
 
 
 class Models:
@@ -201,11 +206,17 @@ def fit(labelled: DataFrame) -> Models:
     """
     labelled = settle(labelled.where(F.col("label").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")))
     part = F.pmod(F.xxhash64("text"), F.lit(4))
-    counted = settle(bigrams(labelled.where(part != 0)))
-    column = lambda df: {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().columns)}
-    words = counted.groupBy("word", "stem").agg(F.count_if(F.col("b0") > 0).alias("n0"), F.count_if(F.col("b1") > 0).alias("n1"))
-    contexts = counted.groupBy("before").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
-    models = Models(column(words), column(contexts), column(counted.where("greatest(b0, b1) > 1").select("before", "word", "b0", "b1")))
+    counted, none = bigrams(labelled.where(part != 0)), F.lit(None).cast("long")
+    seen = counted.where("not is_stem")
+    words = counted.groupBy("word").agg(F.max(F.when(F.col("is_stem"), F.col("before"))).alias("before"), F.count_if(F.col("b0") > 0).alias("b0"), F.count_if(F.col("b1") > 0).alias("b1"))
+    contexts = seen.groupBy("before").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
+    # one query for all three, so the bigrams are shuffled once and written nowhere else
+    tables = [words.select(F.lit(0).alias("t"), "before", "word", "b0", "b1"), contexts.select(F.lit(1).alias("t"), "before", none.alias("word"), "b0", "b1"), seen.where("greatest(b0, b1) > 1").select(F.lit(2).alias("t"), "before", "word", "b0", "b1")]
+    rows = tables[0].union(tables[1]).union(tables[2]).toArrow()
+    of = rows.column("t").to_numpy()
+    table = lambda t: {c: rows.column(c).filter(pa.array(of == t)).to_numpy() for c in (("before", "word", "b0", "b1") if t != 1 else ("before", "b0", "b1"))}
+    words = table(0)
+    models = Models({"word": words["word"], "stem": words["before"], "n0": words["b0"], "n1": words["b1"]}, table(1), table(2))
     held = labelled.where(part == 0).select(differences_of(models, labelled.sparkSession)(F.col("text")).alias("x"), F.col("label").cast("double").alias("y")).toArrow()
     models.fit_line(held.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 3), held.column("y").to_numpy())
     return models
