@@ -1,14 +1,14 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot).  Every word has a
-class and a slot in it.  The most frequent words are dealt to ``HEAD_CLASSES`` classes by frequency,
-one to a slot, so nothing is left for the third factor; all other words, whatever their number, have
-one of ``RARE`` classes by their shape and a slot by their hash, and share it by their counts (plus
-one, with one type for all unseen words), so the probabilities of a history add up to 1.  Features of
-both softmaxes are the word before, the word before that (skip) and, for the class, the two together:
-words of any frequency, hashed into rows of weights; unigram log-probabilities are the bias.  The
-weights are trained by gradient steps (Adagrad) in parallel over all training documents, in rounds;
-after each round the trainers' changes are summed in a tree and averaged.
+P(word | history) = P(class | history) * P(word | class, history), and every word has a class.  The
+most frequent words are dealt to ``HEAD_CLASSES`` classes of ``SLOTS`` words each and are told apart
+by a second softmax; all other words, whatever their number, belong to ``RARE`` classes by their shape
+and are told apart by their counts (plus one, with one type for all unseen words), so the
+probabilities of a history add up to 1.  Features are the word before, the word before that (skip) and
+the two together, hashed into rows of weights; a word that is not among the most frequent is there
+both as itself, by its hash, and as its shape.  Unigram log-probabilities are the bias.  The weights
+are trained by gradient steps (Adagrad) in parallel over all training documents, in rounds; after each
+round the trainers' changes are summed in a tree and averaged.
 
 Counts cover all training documents.  The counts of the ``KNOWN`` most frequent words are broadcast
 (a fixed bound), those of other words meet their occurrences in a join, whose crowded words Spark can
@@ -29,16 +29,15 @@ from pyspark.sql import functions as F
 
 from sumiveil.llm.common import read_table, release, row_sums, settle, slices, words_of
 
-HEAD_CLASSES, RARE, SLOTS = 36, 12, 32
+HEAD_CLASSES, RARE, SLOTS = 20, 12, 64
 CLASSES = HEAD_CLASSES + RARE
 HEAD = HEAD_CLASSES * SLOTS
-#: Rows of class weights for each of the three features, and of slot weights for both of theirs.
-CONTEXT_ROWS, SLOT_ROWS = 1 << 15, 1 << 16
-CLASS_ROWS = 3 * CONTEXT_ROWS
-#: The most frequent words have rows of their own as history; the others share the rest by their hash.
-OWN = 1 << 13
-#: Stands for the words before a text.
-START = np.uint32(OWN - 1)
+#: What a word is as history: its place among the most frequent, or its shape, or the start of a text.
+START = HEAD + RARE
+CONTEXTS = START + 1
+#: Rows of class weights: of both words before by place or shape, of the two together, and of rarer words by hash; rows of slot weights.
+PAIR_ROWS, WORD_ROWS, SLOT_ROWS = 1 << 14, 1 << 14, 1 << 15
+CLASS_ROWS = -(-(2 * CONTEXTS + PAIR_ROWS + 2 * WORD_ROWS) // 128) * 128
 KNOWN = 1 << 20
 CACHED = 500_000
 BLOCKS = 128
@@ -98,91 +97,96 @@ class Model:
     """Counts of the known words, biases and weights."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, rare_total: np.ndarray, rare_types: np.ndarray):
-        """``rare_total`` and ``rare_types`` are those of all words, by shape and slot."""
+        """``rare_total`` and ``rare_types`` are those of all words, by shape."""
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.types = total, types
         rank = np.lexsort((self.hashes, -self.counts))[:HEAD]
         self.head = np.full(len(self.hashes), -1, np.int32)
         self.head[rank] = np.arange(len(rank))
-        known = np.lexsort((self.hashes, -self.counts))[: OWN - 1]
-        self.past = (self.hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32) | np.uint32(1 << 31)
-        self.past[known] = np.arange(len(known))
-        inside = np.zeros((CLASSES, SLOTS))
-        inside[:HEAD_CLASSES].ravel()[: len(rank)] = self.counts[rank]
-        place = (self.hashes[rank] & 15) * SLOTS + (self.hashes[rank] >> 4 & SLOTS - 1)
-        gone = lambda w: np.bincount(place, weights=w, minlength=RARE * SLOTS).reshape(RARE, SLOTS)
-        #: By shape and slot: counts and types of the words that share the slot, and one for the unseen.
+        inside = np.zeros((HEAD_CLASSES, SLOTS))
+        inside.ravel()[: len(rank)] = self.counts[rank]
+        gone = lambda w: np.bincount(self.hashes[rank] & 15, weights=w, minlength=RARE)
+        #: By shape: counts and types of the words that share the class, and one for the unseen.
         self.rare = rare_total - gone(self.counts[rank]) + rare_types - gone(np.ones(len(rank))) + 1
-        inside[HEAD_CLASSES:] = rare_total - gone(self.counts[rank]) + 1 / SLOTS
-        mass = inside.sum(axis=1)
+        mass = np.concatenate([inside.sum(axis=1), rare_total - gone(self.counts[rank]) + 1.0])
         self.class_bias = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
-        self.slot_bias = np.where(inside > 0, np.log(np.maximum(inside, 1e-9) / np.maximum(mass, 1e-9)[:, None]), -30).astype(np.float32)
+        self.slot_bias = np.where(inside > 0, np.log(np.maximum(inside, 1) / np.maximum(inside.sum(axis=1, keepdims=True), 1)), -30).astype(np.float32)
         self.classes = np.zeros((CLASS_ROWS, CLASSES), np.float32)
         self.slots = np.zeros((SLOT_ROWS, SLOTS), np.float32)
 
-    def look_up(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: its class, its slot, the number that it is as history, and its count (-1 where not among the known)."""
+    def look_up(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: its symbol (place among the most frequent, or HEAD + shape), its hash in 32 bits, and its count (-1 where not among the known)."""
         count = np.full(len(hashes), -1, np.int64)
-        kind, slot = HEAD_CLASSES + (hashes & 15), hashes >> 4 & SLOTS - 1
-        past = (hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32) | np.uint32(1 << 31)
+        symbol = HEAD + (hashes & 15)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
             count[hit] = self.counts[at[hit]]
             head = np.where(hit, self.head[at], -1)
-            kind, slot = np.where(head >= 0, head // SLOTS, kind), np.where(head >= 0, head % SLOTS, slot)
-            past[hit] = self.past[at[hit]]
-        return kind.astype(np.int32)[codes], slot.astype(np.int32)[codes], past[codes], count[codes]
-
-    def history(self, past: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words one and two tokens before, within each row."""
-        one, two = np.full(len(past), START), np.full(len(past), START)
-        place = np.arange(len(past)) - np.repeat(offsets[:-1], np.diff(offsets))
-        later = np.flatnonzero(place >= 1)
-        one[later] = past[later - 1]
-        later = np.flatnonzero(place >= 2)
-        two[later] = past[later - 2]
-        return one, two
-
-    def class_rows(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        single = [np.where(x < OWN, x, OWN + mixed(x, x, 0x9E3779B1, 0, CONTEXT_ROWS) % (CONTEXT_ROWS - OWN)).astype(np.int32) for x in (one, two)]
-        return single[0], single[1] + CONTEXT_ROWS, mixed(one, two, 0x9E3779B1, 0x27D4EB2F, CONTEXT_ROWS) + 2 * CONTEXT_ROWS
-
-    def slot_rows(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        k = kind.astype(np.uint32)
-        return mixed(k, one, 0x9E3779B1, 0x85EBCA77, SLOT_ROWS), mixed(k, two, 0x9E3779B1, 0xC2B2AE3D, SLOT_ROWS)
-
-    def forward(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """Rows of the features and both softmaxes, the second within the token's class."""
-        rows = self.class_rows(one, two)
-        logits = self.class_bias + self.classes[rows[0]]
-        logits += self.classes[rows[1]]
-        logits += self.classes[rows[2]]
-        slot_rows = self.slot_rows(kind, one, two)
-        inner = self.slot_bias[kind] + self.slots[slot_rows[0]]
+            symbol = np.where(head >= 0, head, symbol)
+        return symbol.astype(np.int32)[codes], (hashes.view(np.uint64) >> np.uint64(20)).astype(np.uint32)[codes], count[codes]
+
+    def history(self, symbol: np.ndarray, past: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Per token the symbols of the words one and two before in its row, and their hashes (0 where a symbol says all)."""
+        out = np.empty((4, len(symbol)), np.int64)
+        own = np.where((symbol >= HEAD) & (symbol < START), past, 0)
+        place = np.arange(len(symbol)) - np.repeat(offsets[:-1], np.diff(offsets))
+        for k in (1, 2):
+            later = np.flatnonzero(place >= k)
+            out[k - 1], out[k + 1] = START, 0
+            out[k - 1, later], out[k + 1, later] = symbol[later - k], own[later - k]
+        return out
+
+    def class_rows(self, history: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+        """The features of the class: which tokens have one (most have all), and its row."""
+        one, two, a, b = history
+        rows = [(slice(None), one), (slice(None), CONTEXTS + two), (slice(None), 2 * CONTEXTS + (one * 2654435761 + two * 40503 >> 7 & PAIR_ROWS - 1))]
+        for k, h in enumerate((a, b)):
+            at = np.flatnonzero(h)
+            rows.append((at, 2 * CONTEXTS + PAIR_ROWS + k * WORD_ROWS + (h[at] * 0x9E3779B1 >> 13 & WORD_ROWS - 1)))
+        return rows
+
+    def slot_rows(self, kind: np.ndarray, history: np.ndarray) -> list[np.ndarray]:
+        """The features of a frequent word's slot in its class: the words before, a rarer one by its hash."""
+        one, two, a, b = history
+        return [(kind * 0x9E3779B1 + np.where(h > 0, h, c) * m >> 9) & SLOT_ROWS - 1 for c, h, m in ((one, a, 2246822519), (two, b, 3266489917))]
+
+    def forward(self, symbol: np.ndarray, history: np.ndarray):
+        """Classes and the class softmax with its features; the frequent words among the tokens and the softmax inside their classes with its."""
+        kind = np.where(symbol < HEAD, symbol // SLOTS, HEAD_CLASSES - HEAD + symbol)
+        rows = self.class_rows(history)
+        logits = self.class_bias + self.classes[rows[0][1]]
+        for at, row in rows[1:]:
+            logits[at] += self.classes[row]
+        head = np.flatnonzero(symbol < HEAD)
+        own = kind[head].astype(np.int64)
+        slot_rows = self.slot_rows(own, history[:, head])
+        inner = self.slot_bias[own] + self.slots[slot_rows[0]]
         inner += self.slots[slot_rows[1]]
-        return rows, softmax(logits), slot_rows, softmax(inner)
+        return kind, rows, softmax(logits), head, symbol[head] % SLOTS, slot_rows, softmax(inner)
 
-    def log_probability(self, kind: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each token's class and slot."""
-        out = np.empty(len(kind))
-        for a in range(0, len(kind), BATCH):
+    def log_probability(self, symbol: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each token's class and, for frequent words, slot probability."""
+        out = np.empty(len(symbol))
+        for a in range(0, len(symbol), BATCH):
             s = slice(a, a + BATCH)
-            _, p, _, q = self.forward(kind[s], one[s], two[s])
-            at = np.arange(len(p))
-            out[s] = np.log(p[at, kind[s]] * q[at, slot[s]])
+            kind, _, p, head, slot, _, q = self.forward(symbol[s], history[:, s])
+            gain = p[np.arange(len(p)), kind]
+            gain[head] *= q[np.arange(len(q)), slot]
+            out[s] = np.log(gain)
         return out
 
-    def train(self, kind: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
+    def train(self, symbol: np.ndarray, history: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
         """One pass of gradient steps, a batch of tokens at a time; ``squares`` are those of class and slot rows."""
-        for a in range(0, len(kind), BATCH):
+        for a in range(0, len(symbol), BATCH):
             s = slice(a, a + BATCH)
-            rows, p, slot_rows, q = self.forward(kind[s], one[s], two[s])
-            at = np.arange(len(p))
-            p[at, kind[s]] -= 1
-            q[at, slot[s]] -= 1
-            for r, g, w, sq in (*((r, p, self.classes, squares[0]) for r in rows), *((r, q, self.slots, squares[1]) for r in slot_rows)):
+            kind, rows, p, head, slot, slot_rows, q = self.forward(symbol[s], history[:, s])
+            p[np.arange(len(p)), kind] -= 1
+            q[np.arange(len(q)), slot] -= 1
+            for r, g, w, sq in (*((r, p[at], self.classes, squares[0]) for at, r in rows), *((r, q, self.slots, squares[1]) for r in slot_rows)):
+                if not len(r):
+                    continue
                 order = np.argsort(r)
                 ranked = r[order]
                 last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
@@ -241,12 +245,11 @@ def train(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text"))
     vocabulary = settle(count_words(docs))
-    place = (F.col("hash").bitwiseAND(F.lit(15)) * SLOTS + F.shiftright("hash", 4).bitwiseAND(F.lit(SLOTS - 1))).alias("place")
-    rare_total, rare_types = np.zeros(RARE * SLOTS), np.zeros(RARE * SLOTS)
-    for r in vocabulary.groupBy(place).agg(F.sum("n").alias("n"), F.count("n").alias("types")).collect():  # a row for each of RARE * SLOTS at most
-        rare_total[r["place"]], rare_types[r["place"]] = r["n"], r["types"]
+    rare_total, rare_types = np.zeros(RARE), np.zeros(RARE)
+    for r in vocabulary.groupBy(F.expr("hash & 15").alias("shape")).agg(F.sum("n").alias("n"), F.count("n").alias("types")).collect():  # a row for each shape
+        rare_total[r["shape"]], rare_types[r["shape"]] = r["n"], r["types"]
     known, others = _known(vocabulary)
-    model = Model(known.column("hash").to_numpy(), known.column("n").to_numpy(), int(rare_total.sum()), int(rare_types.sum()), rare_total.reshape(RARE, SLOTS), rare_types.reshape(RARE, SLOTS))
+    model = Model(known.column("hash").to_numpy(), known.column("n").to_numpy(), int(rare_total.sum()), int(rare_types.sum()), rare_total, rare_types)
     trainers = max(6, -(-model.total // TOKENS_PER_TRAINER))
     part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
@@ -302,8 +305,8 @@ def _trainer(now):
             for batch in batches:
                 for _, some in slices(batch.column(0), SLICE):
                     codes, offsets, hashes = tokens(some)
-                    kind, slot, past, _ = model.look_up(codes, hashes)
-                    model.train(kind, slot, *model.history(past, offsets), squares)
+                    symbol, past, _ = model.look_up(codes, hashes)
+                    model.train(symbol, model.history(symbol, past, offsets), squares)
                 release()
             change = model.classes - first[0], model.slots - first[1]
         finally:
@@ -353,12 +356,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
         parts, hashes, times, ends = [], [], [], [0]
         for _, some in slices(texts, SLICE):
             codes, offsets, own = tokens(some)
-            kind, slot, past, count = m.look_up(codes, own)
-            gain = m.log_probability(kind, slot, *m.history(past, offsets)) / LN10
+            symbol, past, count = m.look_up(codes, own)
+            gain = m.log_probability(symbol, m.history(symbol, past, offsets)) / LN10
             seen = count >= 0
             base = np.where(seen, np.log10((np.maximum(count, 0) + 1) / floor), 0.0)
-            rare = kind >= HEAD_CLASSES
-            gain += np.where(rare & seen, np.log10((np.maximum(count, 0) + 1) / m.rare[np.where(rare, kind - HEAD_CLASSES, 0), slot]), 0.0)
+            rare = symbol >= HEAD
+            gain += np.where(rare & seen, np.log10((np.maximum(count, 0) + 1) / m.rare[np.where(rare, symbol - HEAD, 0)]), 0.0)
             parts.append((np.diff(offsets), row_sums(seen, offsets), row_sums(base, offsets), row_sums(gain, offsets)))
             at = np.flatnonzero(~seen)
             row = np.searchsorted(offsets, at, "right") - 1
@@ -375,7 +378,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, *, keep: dict[st
 
     scored = settle(docs.select(F.struct(*[c.alias(k) for k, c in keep.items()]).alias("kept"), head(F.col(text)).alias("h"))).withColumn("row", F.monotonically_increasing_id())
     floor = float(model.total + model.types + 1)
-    inside = F.element_at(F.lit(model.rare.ravel().tolist()), (F.col("hash").bitwiseAND(F.lit(15)) * SLOTS + F.shiftright("hash", 4).bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int"))
+    inside = F.element_at(F.lit(model.rare.tolist()), (F.col("hash").bitwiseAND(F.lit(15)) + 1).cast("int"))
     tail = scored.select("row", F.explode(F.arrays_zip(F.col("h.hashes").alias("hash"), F.col("h.times").alias("times"))).alias("x")).select("row", "x.hash", "x.times")
     met = tail.join(vocabulary, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(floor))).alias("base"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / inside)).alias("gain"))

@@ -209,16 +209,22 @@ def test_language_model(spark, small, awkward, known, monkeypatch):
 def plain_probability(model, counts, word, one, two):
     """P(word | history) of a trained model, a word at a time, from its weights and all counts."""
     hashed = lambda w: X.tokens(pa.array([w], pa.large_string()))[2][:1] if w != "\n" else np.array([X.END])
-    past = lambda w: np.array([X.START]) if w is None else model.look_up(np.zeros(1, int), hashed(w))[2]
-    kind, slot, _, _ = (int(x[0]) for x in model.look_up(np.zeros(1, int), hashed(word)))
-    one, two = past(one), past(two)
-    logits = model.class_bias.astype(float) + sum(model.classes[r[0]].astype(float) for r in model.class_rows(one, two))
-    inner = model.slot_bias[kind].astype(float) + sum(model.slots[r[0]].astype(float) for r in model.slot_rows(np.array([kind]), one, two))
-    share = lambda x, k: math.exp(x[k]) / sum(math.exp(v) for v in x)
-    p = share(logits, kind) * share(inner, slot)
-    if kind >= X.HEAD_CLASSES:
-        p *= (counts[word] + 1) / model.rare[kind - X.HEAD_CLASSES, slot]
-    return p
+
+    def number(w):
+        if w is None:
+            return X.START, 0
+        symbol, past, _ = model.look_up(np.zeros(1, int), hashed(w))
+        return int(symbol[0]), int(past[0]) if symbol[0] >= X.HEAD else 0
+
+    (one, a), (two, b) = number(one), number(two)
+    symbol = int(model.look_up(np.zeros(1, int), hashed(word))[0][0])
+    history = np.array([[one], [two], [a], [b]], np.int64)
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    p = softmax(model.class_bias.astype(float) + sum(model.classes[r[0]].astype(float) for _, r in model.class_rows(history) if len(r)))
+    if symbol >= X.HEAD:
+        return p[X.HEAD_CLASSES + symbol - X.HEAD] * (counts[word] + 1) / model.rare[symbol - X.HEAD]
+    kind, slot = divmod(symbol, X.SLOTS)
+    return p[kind] * softmax(model.slot_bias[kind].astype(float) + sum(model.slots[r[0]].astype(float) for r in model.slot_rows(np.array([kind]), history)))[slot]
 
 
 @pytest.mark.parametrize("known", [X.KNOWN, 300])
@@ -243,14 +249,26 @@ def test_language_model_adds_up_to_one(small):
     model, _ = X.train(docs)
     counts = Counter(w for r in docs.collect() for w in ngram_tokens(r["text"]))
     words = list(counts)
-    one, two = words[3], words[70]
-    seen = sum(plain_probability(model, counts, w, one, two) for w in words)
-    # what the unseen words of every slot have, one type each
-    a, b = (model.look_up(np.zeros(1, int), X.tokens(pa.array([w], pa.large_string()))[2][:1])[2] for w in (one, two))
-    kind = np.arange(X.CLASSES, dtype=np.int32)
-    _, p, _, q = model.forward(kind, np.repeat(a, X.CLASSES), np.repeat(b, X.CLASSES))
-    unseen = (p[0, X.HEAD_CLASSES :, None] * q[X.HEAD_CLASSES :] / model.rare).sum()
-    assert seen + unseen == pytest.approx(1, abs=1e-3)
+    for one, two in ((words[3], words[70]), (None, None), (min(words, key=counts.get), words[5])):
+        seen = sum(plain_probability(model, counts, w, one, two) for w in words)
+        # an unseen word of each shape has what one more type of it has
+        unseen = {X.shape(w): w for w in ("zzzz", "zzzz.", "zzzz%", "zzzzzzzzzz", "zzzzzzzzzz.", "zzzzzzzzzz%", "ßzzz", "ßzzz.", "ßzzz%", "ßzzzzzzzzz", "ßzzzzzzzzz.", "ßzzzzzzzzz%")}
+        assert len(unseen) == X.RARE and not set(unseen.values()) & set(counts)
+        assert seen + sum(plain_probability(model, counts, w, one, two) for w in unseen.values()) == pytest.approx(1, abs=1e-3)
+
+
+def test_rarer_words_are_features(small):
+    """Histories that differ in a word beyond the most frequent, but not in its shape, have different features."""
+    model, _ = X.train(small)
+    words = {w for r in small.collect() for w in ngram_tokens(r["text"])}
+    by_shape = {}
+    for w in sorted(words - {"\n"}):
+        symbol, past, _ = model.look_up(np.zeros(1, int), X.tokens(pa.array([w], pa.large_string()))[2][:1])
+        if symbol[0] >= X.HEAD:
+            by_shape.setdefault(int(symbol[0]), []).append(int(past[0]))
+    symbol, (a, b, *_) = max(by_shape.items(), key=lambda x: len(x[1]))
+    rows = [[int(r[0]) for _, r in model.class_rows(np.array([[symbol], [symbol], [x], [x]], np.int64))] for x in (a, b)]
+    assert len(words) > 2 * X.HEAD and rows[0][:3] == rows[1][:3] and rows[0][3] != rows[1][3] and rows[0][4] != rows[1][4]
 
 
 def test_known_words_are_bounded_and_never_none(spark, monkeypatch):
