@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumiveil.session import settle, shared_dir
+
 #: What a word is, for the operators whose contract says so.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,21 +24,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where none is set, on one machine (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared checkpoint folder and go on from there, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextlib.contextmanager
+def tabled(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, compressed by columns as :func:`settle` is not, while it is needed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def sweep(spark: SparkSession) -> None:

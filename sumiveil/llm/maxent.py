@@ -129,41 +129,46 @@ class Model:
 
     def history(self, symbol: np.ndarray, past: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per token the symbols of the words one and two before in its row, and their hashes (0 where a symbol says all)."""
-        out = np.empty((4, len(symbol)), np.int64)
-        own = np.where((symbol >= HEAD) & (symbol < START), past, 0)
-        place = np.arange(len(symbol)) - np.repeat(offsets[:-1], np.diff(offsets))
+        out = np.empty((4, len(symbol)), np.uint32)
+        own = np.where((symbol >= HEAD) & (symbol < START), past, np.uint32(0))
         for k in (1, 2):
-            later = np.flatnonzero(place >= k)
-            out[k - 1], out[k + 1] = START, 0
-            out[k - 1, later], out[k + 1, later] = symbol[later - k], own[later - k]
+            out[k - 1, k:], out[k + 1, k:] = symbol[:-k], own[:-k]
+            for j in range(k):  # the first k tokens of a row have nothing so far back
+                at = offsets[:-1] + j
+                at = at[at < offsets[1:]]
+                out[k - 1, at], out[k + 1, at] = START, 0
         return out
 
     def class_rows(self, history: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
         """The features of the class: which tokens have one (most have all), and its row."""
         one, two, a, b = history
-        rows = [(slice(None), one), (slice(None), CONTEXTS + two), (slice(None), 2 * CONTEXTS + (one * 2654435761 + two * 40503 >> 7 & PAIR_ROWS - 1))]
+        pair = (one * np.uint32(2654435761) + two * np.uint32(40503) >> np.uint32(7)) & np.uint32(PAIR_ROWS - 1)
+        rows = [(slice(None), x.astype(np.int32)) for x in (one, two + np.uint32(CONTEXTS), pair + np.uint32(2 * CONTEXTS))]
         for k, h in enumerate((a, b)):
             at = np.flatnonzero(h)
-            rows.append((at, 2 * CONTEXTS + PAIR_ROWS + k * WORD_ROWS + (h[at] * 0x9E3779B1 >> 13 & WORD_ROWS - 1)))
+            row = (h[at] * np.uint32(0x9E3779B1) >> np.uint32(13)) & np.uint32(WORD_ROWS - 1)
+            rows.append((at, row.astype(np.int32) + (2 * CONTEXTS + PAIR_ROWS + k * WORD_ROWS)))
         return rows
 
     def slot_rows(self, kind: np.ndarray, history: np.ndarray) -> list[np.ndarray]:
         """The features of a frequent word's slot in its class: the words before, a rarer one by its hash."""
         one, two, a, b = history
-        return [(kind * 0x9E3779B1 + np.where(h > 0, h, c) * m >> 9) & SLOT_ROWS - 1 for c, h, m in ((one, a, 2246822519), (two, b, 3266489917))]
+        own = kind.astype(np.uint32) * np.uint32(0x9E3779B1)
+        return [((own + np.where(h > 0, h, c) * np.uint32(m) >> np.uint32(9)) & np.uint32(SLOT_ROWS - 1)).astype(np.int32) for c, h, m in ((one, a, 2246822519), (two, b, 3266489917))]
 
     def forward(self, symbol: np.ndarray, history: np.ndarray):
         """Classes and the class softmax with its features; the frequent words among the tokens and the softmax inside their classes with its."""
         kind = np.where(symbol < HEAD, symbol // SLOTS, HEAD_CLASSES - HEAD + symbol)
         rows = self.class_rows(history)
-        logits = self.class_bias + self.classes[rows[0][1]]
+        logits = self.class_bias + self.classes.take(rows[0][1], axis=0)
         for at, row in rows[1:]:
-            logits[at] += self.classes[row]
+            logits[at] += self.classes.take(row, axis=0)
         head = np.flatnonzero(symbol < HEAD)
-        own = kind[head].astype(np.int64)
+        own = kind[head]
         slot_rows = self.slot_rows(own, history[:, head])
-        inner = self.slot_bias[own] + self.slots[slot_rows[0]]
-        inner += self.slots[slot_rows[1]]
+        inner = self.slot_bias.take(own, axis=0)
+        for row in slot_rows:
+            inner += self.slots.take(row, axis=0)
         return kind, rows, softmax(logits), head, symbol[head] % SLOTS, slot_rows, softmax(inner)
 
     def log_probability(self, symbol: np.ndarray, history: np.ndarray) -> np.ndarray:
@@ -189,10 +194,9 @@ class Model:
                     continue
                 order = np.argsort(r)
                 ranked = r[order]
-                last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
-                at = ranked[last]
-                step = np.cumsum(g[order], axis=0)[last]  # then differences: sums of equal rows
-                step[1:] -= step[:-1].copy()
+                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                at = ranked[first]
+                step = np.add.reduceat(g.take(order, axis=0), first, axis=0)
                 sq[at] += np.einsum("ij,ij->i", step, step) / step.shape[1]
                 w[at] -= (RATE / np.sqrt(sq[at] + GROUND))[:, None] * step
 

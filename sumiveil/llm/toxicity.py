@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import once, read_table, row_sums, settle, slices, words_of
+from sumiveil.llm.common import once, read_table, row_sums, settle, slices, tabled, words_of
 
 MAX_LABELLED = 20_000
 STEM = 4
@@ -206,17 +206,13 @@ def fit(labelled: DataFrame) -> Models:
     """
     labelled = settle(labelled.where(F.col("label").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")))
     part = F.pmod(F.xxhash64("text"), F.lit(4))
-    counted, none = bigrams(labelled.where(part != 0)), F.lit(None).cast("long")
-    seen = counted.where("not is_stem")
-    words = counted.groupBy("word").agg(F.max(F.when(F.col("is_stem"), F.col("before"))).alias("before"), F.count_if(F.col("b0") > 0).alias("b0"), F.count_if(F.col("b1") > 0).alias("b1"))
-    contexts = seen.groupBy("before").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
-    # one query for all three, so the bigrams are shuffled once and written nowhere else
-    tables = [words.select(F.lit(0).alias("t"), "before", "word", "b0", "b1"), contexts.select(F.lit(1).alias("t"), "before", none.alias("word"), "b0", "b1"), seen.where("greatest(b0, b1) > 1").select(F.lit(2).alias("t"), "before", "word", "b0", "b1")]
-    rows = tables[0].union(tables[1]).union(tables[2]).toArrow()
-    of = rows.column("t").to_numpy()
-    table = lambda t: {c: rows.column(c).filter(pa.array(of == t)).to_numpy() for c in (("before", "word", "b0", "b1") if t != 1 else ("before", "b0", "b1"))}
-    words = table(0)
-    models = Models({"word": words["word"], "stem": words["before"], "n0": words["b0"], "n1": words["b1"]}, table(1), table(2))
+    column = lambda df: {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().columns)}
+    with tabled(bigrams(labelled.where(part != 0))) as counted:
+        seen = counted.where("not is_stem")
+        words = column(counted.groupBy("word").agg(F.max(F.when(F.col("is_stem"), F.col("before"))).alias("stem"), F.count_if(F.col("b0") > 0).alias("n0"), F.count_if(F.col("b1") > 0).alias("n1")))
+        contexts = column(seen.groupBy("before").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1")))
+        pairs = column(seen.where("greatest(b0, b1) > 1").select("before", "word", "b0", "b1"))
+    models = Models(words, contexts, pairs)
     held = labelled.where(part == 0).select(differences_of(models, labelled.sparkSession)(F.col("text")).alias("x"), F.col("label").cast("double").alias("y")).toArrow()
     models.fit_line(held.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 3), held.column("y").to_numpy())
     return models

@@ -218,7 +218,7 @@ def plain_probability(model, counts, word, one, two):
 
     (one, a), (two, b) = number(one), number(two)
     symbol = int(model.look_up(np.zeros(1, int), hashed(word))[0][0])
-    history = np.array([[one], [two], [a], [b]], np.int64)
+    history = np.array([[one], [two], [a], [b]], np.uint32)
     softmax = lambda x: np.exp(x) / np.exp(x).sum()
     p = softmax(model.class_bias.astype(float) + sum(model.classes[r[0]].astype(float) for _, r in model.class_rows(history) if len(r)))
     if symbol >= X.HEAD:
@@ -267,7 +267,7 @@ def test_rarer_words_are_features(small):
         if symbol[0] >= X.HEAD:
             by_shape.setdefault(int(symbol[0]), []).append(int(past[0]))
     symbol, (a, b, *_) = max(by_shape.items(), key=lambda x: len(x[1]))
-    rows = [[int(r[0]) for _, r in model.class_rows(np.array([[symbol], [symbol], [x], [x]], np.int64))] for x in (a, b)]
+    rows = [[int(r[0]) for _, r in model.class_rows(np.array([[symbol], [symbol], [x], [x]], np.uint32))] for x in (a, b)]
     assert len(words) > 2 * X.HEAD and rows[0][:3] == rows[1][:3] and rows[0][3] != rows[1][3] and rows[0][4] != rows[1][4]
 
 
