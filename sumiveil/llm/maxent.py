@@ -6,7 +6,7 @@ by a second softmax; all other words, whatever their number, belong to ``RARE``
 and are told apart by their counts (plus one, with one type for all unseen words), so the
 probabilities of a history add up to 1.  Features are the word before, the word before that (skip) and
 the two together, hashed into rows of weights; a word that is not among the most frequent is there
-both as itself, by its hash, and as its shape.  Unigram log-probabilities are the bias.  The weights
+as its shape and, for the class if it is the word before and for the slot always, as itself.  Unigram log-probabilities are the bias.  The weights
 are trained by gradient steps (Adagrad) in parallel over all training documents, in rounds; after each
 round the trainers' changes are summed in a tree and averaged.
 
@@ -35,9 +35,9 @@ HEAD = HEAD_CLASSES * SLOTS
 #: What a word is as history: its place among the most frequent, or its shape, or the start of a text.
 START = HEAD + RARE
 CONTEXTS = START + 1
-#: Rows of class weights: of both words before by place or shape, of the two together, and of rarer words by hash; rows of slot weights.
-PAIR_ROWS, WORD_ROWS, SLOT_ROWS = 1 << 14, 1 << 14, 1 << 15
-CLASS_ROWS = -(-(2 * CONTEXTS + PAIR_ROWS + 2 * WORD_ROWS) // 128) * 128
+#: Rows of class weights: of both words before by place or shape, of the two together, and of a rarer word before by its hash; rows of slot weights.
+PAIR_ROWS, WORD_ROWS, SLOT_ROWS = 1 << 14, 1 << 15, 1 << 15
+CLASS_ROWS = -(-(2 * CONTEXTS + PAIR_ROWS + WORD_ROWS) // 128) * 128
 KNOWN = 1 << 20
 CACHED = 500_000
 BLOCKS = 128
@@ -141,14 +141,12 @@ class Model:
 
     def class_rows(self, history: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
         """The features of the class: which tokens have one (most have all), and its row."""
-        one, two, a, b = history
+        one, two, rarer, _ = history
         pair = (one * np.uint32(2654435761) + two * np.uint32(40503) >> np.uint32(7)) & np.uint32(PAIR_ROWS - 1)
         rows = [(slice(None), x.astype(np.int32)) for x in (one, two + np.uint32(CONTEXTS), pair + np.uint32(2 * CONTEXTS))]
-        for k, h in enumerate((a, b)):
-            at = np.flatnonzero(h)
-            row = (h[at] * np.uint32(0x9E3779B1) >> np.uint32(13)) & np.uint32(WORD_ROWS - 1)
-            rows.append((at, row.astype(np.int32) + (2 * CONTEXTS + PAIR_ROWS + k * WORD_ROWS)))
-        return rows
+        at = np.flatnonzero(rarer)
+        row = (rarer[at] * np.uint32(0x9E3779B1) >> np.uint32(13)) & np.uint32(WORD_ROWS - 1)
+        return [*rows, (at, row.astype(np.int32) + (2 * CONTEXTS + PAIR_ROWS))]
 
     def slot_rows(self, kind: np.ndarray, history: np.ndarray) -> list[np.ndarray]:
         """The features of a frequent word's slot in its class: the words before, a rarer one by its hash."""

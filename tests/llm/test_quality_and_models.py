@@ -268,7 +268,9 @@ def test_rarer_words_are_features(small):
             by_shape.setdefault(int(symbol[0]), []).append(int(past[0]))
     symbol, (a, b, *_) = max(by_shape.items(), key=lambda x: len(x[1]))
     rows = [[int(r[0]) for _, r in model.class_rows(np.array([[symbol], [symbol], [x], [x]], np.uint32))] for x in (a, b)]
-    assert len(words) > 2 * X.HEAD and rows[0][:3] == rows[1][:3] and rows[0][3] != rows[1][3] and rows[0][4] != rows[1][4]
+    assert len(words) > 2 * X.HEAD and rows[0][:3] == rows[1][:3] and rows[0][3] != rows[1][3]
+    slots = [model.slot_rows(np.array([1]), np.array([[symbol], [symbol], [x], [x]], np.uint32)) for x in (a, b)]
+    assert all(x[0] != y[0] for x, y in zip(*slots))
 
 
 def test_known_words_are_bounded_and_never_none(spark, monkeypatch):
