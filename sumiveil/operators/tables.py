@@ -242,9 +242,18 @@ def _as(kind: str):
     return lambda s: F.struct(s["begin"].alias("begin"), F.lit(kind).alias("kind"), s["value"].alias("value"))
 
 
+def _named() -> Column:
+    return (F.col("source") != "") & (F.col("kind") != "xlsx")
+
+
+def source_names(files: DataFrame) -> DataFrame:
+    """source: the names that a case is headed by, each once; workbooks are named elsewhere."""
+    return files.where(_named()).select("source").distinct()
+
+
 def bundle(files: DataFrame) -> DataFrame:
     """One text of a case from files (ord, source, kind, text): names first, then texts, headed if there are several."""
-    names = F.array_sort(F.collect_set(F.when((F.col("source") != "") & (F.col("kind") != "xlsx"), F.col("source"))))
+    names = F.array_sort(F.collect_set(F.when(_named(), F.col("source"))))
     texts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("ord", "source", "text"))))
     one = files.agg(names.alias("names"), texts.alias("texts"))
     block = F.when(F.size("names") > 0, F.array(F.concat(F.lit("【ファイル名】\n"), F.array_join("names", "\n")))).otherwise(F.array().cast("array<string>"))

@@ -19,31 +19,41 @@ PASSPHRASE_LETTERS = "ABCDEFGHJKMNPQRSTUVWXYZ23456789"
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """source, kind, text, attachments, error of every file; binary files are read and parsed on the executors."""
+    return parse_files(spark.read.format("binaryFile").load(paths))
+
+
+def parse_files(raw: DataFrame) -> DataFrame:
+    """As :func:`read_files`, of rows with path and content; a null content is an empty file."""
     extractors = dict(X.EXTRACTORS)
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def run(batches):
         for b in batches:
             rows = [X.extract(p, d or b"", extractors) | {"source": p.rpartition("/")[2]} for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("source", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("attachments", pa.list_(pa.string())), ("error", pa.string())]))
 
-    return raw.mapInArrow(run, "source string, kind string, text string, attachments array<string>, error string")
+    return raw.select("path", "content").mapInArrow(run, "source string, kind string, text string, attachments array<string>, error string")
 
 
 def read_cells(spark: SparkSession, paths: str | list[str], sheet: str | None = None) -> DataFrame:
     """doc_id (the source), row, col, text of csv and xlsx files; csv rows count from 1, blank lines left out."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return parse_cells(spark.read.format("binaryFile").load(paths), sheet)
+
+
+def parse_cells(raw: DataFrame, sheet: str | None = None) -> DataFrame:
+    """As :func:`read_cells`, of rows with path and content; a null content has no cells."""
 
     def run(batches):
         for b in batches:
             rows = []
             for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if d is None:
+                    continue
                 name = p.rpartition("/")[2]
                 cells = X.xlsx_cells(d, sheet) if name.lower().endswith(".xlsx") else [(r, c, v) for r, row in enumerate(X.csv_rows(X.decode_bytes(d)), 1) for c, v in enumerate(row, 1)]
                 rows += [{"doc_id": name, "row": r, "col": c, "text": v} for r, c, v in cells]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string())]))
 
-    return raw.mapInArrow(run, "doc_id string, row int, col int, text string")
+    return raw.select("path", "content").mapInArrow(run, "doc_id string, row int, col int, text string")
 
 
 def write_private(path: str, text: str) -> None:
