@@ -10,13 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumiveil.llm.common import SPACE, let, once, read_table
+from sumiveil.llm.common import SPACE, fresh, let, once, read_table
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MAX_LOSS = 0.5
-NAVIGATION = r"(?i)^(skip to|back to top|go to top|main menu|menu$|home$|next$|previous$|sign in|sign up|log ?in|log ?out|register|subscribe|share this|share on|follow us|read more|click here|tweet|print this|search$|site ?map|breadcrumb)"
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy (policy|notice)|cookie (policy|settings|preferences)|(accept|use|uses) cookies|enable javascript|javascript is (disabled|required)|lorem ipsum|powered by [a-z])"
+#: Openings of menu lines and stock phrases, in the languages that the corpus has: English, German, French, Spanish.
+NAVIGATION = (
+    r"^(skip to|back to top|go to top|main menu|menu$|home$|next$|previous$|sign in|sign up|log ?in|log ?out|register|subscribe|share this|share on|follow us|read more|click here|tweet|print this|search$|site ?map|breadcrumb"
+    r"|zum inhalt|nach oben|startseite$|weiterlesen|anmelden|abmelden|mehr lesen|weiter$|suche$|aller au contenu|haut de page|accueil$|lire la suite|se connecter|suivant$|recherche$|ir al contenido|volver arriba|inicio$|leer m[aá]s|iniciar sesi[oó]n|siguiente$|buscar$)"
+)
+BOILERPLATE = (
+    r"(all rights reserved|terms of (use|service)|privacy (policy|notice)|cookie (policy|settings|preferences)|(accept|use|uses) cookies|enable javascript|javascript is (disabled|required)|lorem ipsum|powered by [a-z]"
+    r"|alle rechte vorbehalten|datenschutz(erkl[aä]rung|hinweis)|allgemeine gesch[aä]ftsbedingungen|verwende[nt] cookies|tous droits r[eé]serv[eé]s|politique de confidentialit[eé]|mentions l[eé]gales|utilise des cookies"
+    r"|todos los derechos reservados|pol[ií]tica de (privacidad|cookies)|aviso legal|utiliza(mos)? cookies)"
+)
+#: A word that is an address of the web.
+LINK = r"(https?://|www\.)[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -35,9 +45,11 @@ def line_fails(line: Column) -> Column:
             | ((n >= 40) & ~line.rlike(r"[.!?;:,。！？]"))
             # navigation: cells and crumbs, or a short line that opens like a menu
             | (marked & (F.regexp_count(line, F.lit(r"( \||\| | > | » | › | · )")) * 4 > n))
-            | ((n <= 6) & line.rlike(NAVIGATION))
+            | ((n <= 6) & line.rlike("(?iu)" + NAVIGATION))
+            # or a line that is links for the most part
+            | (F.contains(line, F.lit(".")) & (F.regexp_count(line, F.lit(LINK)) * 2 > n))
             # boilerplate: a short line with a stock phrase
-            | ((n <= 25) & line.rlike(BOILERPLATE))
+            | ((n <= 25) & line.rlike("(?iu)" + BOILERPLATE))
         )
 
     return let(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), judge)
@@ -63,42 +75,48 @@ def covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(total)
 
 
-def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """``docs``, null texts made empty, with a struct column ``_q``: the base counts, the lines' verdict and the cleaned text.
+def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS, into: str = "quality") -> DataFrame:
+    """``docs``, null texts made empty, with a struct column ``into``: the base counts, the lines' verdict and the cleaned text.
 
-    The exact 64-bit window hashes of one document are compared with each other only, so a clash
-    among its n windows has a chance of n*n / 2**65.
+    Other columns stay as they are, whatever their names.  The exact 64-bit window hashes of one
+    document are compared with each other only, so a clash among its n windows has a chance of
+    n*n / 2**65.
     """
     count = lambda c: c.cast("long")
+    tag = fresh(docs)
+    col = lambda name: F.col(tag + name)
+    add = lambda df, **columns: df.withColumns({tag + k: v for k, v in columns.items()})
+    has_word = r"[^\x20\x09-\x0D]"
     # each step is fenced, so that what it makes is computed once however often the next ones read it
     one = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    one = one.withColumns({"_w": once(words(F.col(text))), "_l": once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
-    has_word = r"[^\x20\x09-\x0D]"
-    one = one.withColumns({
-        "_v": once(repeat_words(F.col("_w"))),
-        "_c": F.length(F.array_join("_w", "")),
-        "_n": F.size("_w"),
-        "_bad": once(F.filter("_l", line_fails)),
-        "_d": F.size("_l") - F.size(F.array_distinct("_l")),
-        "_m": F.size("_l"),
-    }).drop("_w", "_l")
-    one = one.withColumns({"_r": once(covered(F.col("_v"))), "_b": once(F.size(words(F.array_join("_bad", " "))))}).drop("_v")
-    failed = (F.col("_n") < 10) | (100 * F.col("_r") > 20 * F.col("_n"))
+    one = add(one, words=once(words(F.col(text))), lines=once(F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word))))
+    one = add(
+        one,
+        windows=once(repeat_words(col("words"))),
+        chars=F.length(F.array_join(col("words"), "")),
+        n=F.size(col("words")),
+        bad=once(F.filter(col("lines"), line_fails)),
+        repeated=F.size(col("lines")) - F.size(F.array_distinct(col("lines"))),
+        n_lines=F.size(col("lines")),
+    ).drop(tag + "words", tag + "lines")
+    one = add(one, covered=once(covered(col("windows"))), lost=once(F.size(words(F.array_join(col("bad"), " "))))).drop(tag + "windows")
+    failed = (col("n") < 10) | (100 * col("covered") > 20 * col("n"))
     clean = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(has_word) & line_fails(x))), "\n")
     result = F.struct(
-        count(F.col("_n")).alias("n_words"),
-        count(F.col("_c")).alias("word_chars"),
+        count(col("n")).alias("n_words"),
+        count(col("chars")).alias("word_chars"),
         count(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
-        count(F.col("_d")).alias("n_dup_lines"),
-        count(F.col("_r")).alias("n_repeat_words"),
+        count(col("repeated")).alias("n_dup_lines"),
+        count(col("covered")).alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (F.col("_b") <= max_loss * F.col("_n"))).alias("kept"),
-        count(F.col("_m")).alias("n_lines"),
-        count(F.size("_bad")).alias("n_bad_lines"),
-        count(F.col("_b")).alias("n_bad_words"),
-        F.when(F.size("_bad") == 0, F.col(text)).otherwise(clean).alias("clean"),
+        (~failed & (col("lost") <= max_loss * col("n"))).alias("kept"),
+        count(col("n_lines")).alias("n_lines"),
+        count(F.size(col("bad"))).alias("n_bad_lines"),
+        count(col("lost")).alias("n_bad_words"),
+        F.when(F.size(col("bad")) == 0, F.col(text)).otherwise(clean).alias("clean"),
     )
-    return one.withColumn("_q", once(result)).drop("_bad", "_n", "_r", "_b", "_c", "_d", "_m")
+    made = ("bad", "n", "covered", "lost", "chars", "repeated", "n_lines")
+    return one.withColumn(into, once(result)).drop(*(tag + x for x in made))
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -108,7 +126,7 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     are neither judged nor counted; an empty table gives no rows; no other column is read.
     """
     out = measure(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", max_loss)
-    return out.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept", "_q.n_lines", "_q.n_bad_lines", "_q.n_bad_words", F.col("_q.clean").alias("cleaned_text"))
+    return out.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.n_lines", "quality.n_bad_lines", "quality.n_bad_words", F.col("quality.clean").alias("cleaned_text"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

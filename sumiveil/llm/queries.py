@@ -7,7 +7,7 @@ from sumiveil.llm.common import SPACE
 from sumiveil.llm.licenses import op5_licenses
 from sumiveil.llm.maxent import op3_maxent
 from sumiveil.llm.packing import op7_pack
-from sumiveil.llm.quality import BOILERPLATE, MAX_LOSS, NAVIGATION, SYMBOLS, op10_quality
+from sumiveil.llm.quality import BOILERPLATE, LINK, MAX_LOSS, NAVIGATION, SYMBOLS, op10_quality
 from sumiveil.llm.simhash import op6_simhash
 from sumiveil.llm.sketches import op1_fingerprints
 from sumiveil.llm.substrings import op8_substrings
@@ -25,6 +25,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
+    # what SQL can tell of op1: the texts whose sketches it compares
+    "edited_texts": lambda spark, sf_dir: op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256"),
 }
 _QUALITY = rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -36,11 +38,15 @@ _QUALITY = rf"""
     b AS (SELECT r, count(*) AS n_bad_lines, sum(n) AS n_bad_words FROM x WHERE
         len(regexp_extract_all(x, '[#*$%&|<>{{}}\\^~=_]')) * 10 > length(x) OR len(regexp_extract_all(x, '[!?]')) > greatest(2, n / 2)
         OR (n >= 40 AND NOT regexp_matches(x, '[.!?;:,。！？]')) OR len(regexp_extract_all(x, '( \||\| | > | » | › | · )')) * 4 > n
-        OR (n <= 6 AND regexp_matches(x, '{NAVIGATION}')) OR (n <= 25 AND regexp_matches(x, '{BOILERPLATE}')) GROUP BY r),
+        OR (n <= 6 AND regexp_matches(x, '(?i){NAVIGATION}')) OR len(regexp_extract_all(x, '{LINK}')) * 2 > n OR (n <= 25 AND regexp_matches(x, '(?i){BOILERPLATE}')) GROUP BY r),
     q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
         CAST(coalesce(n_bad_lines, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(n_bad_words, 0) AS BIGINT) AS n_bad_words FROM w LEFT JOIN n USING (r) LEFT JOIN b USING (r))
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_bad_words <= {MAX_LOSS} * n_words AS kept FROM q"""
 
-ORACLE_SQL: dict[str, str] = {"op10_quality": _QUALITY}
+_EDITED = """
+    SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(u, length(t) // 2)) AS edited_sha256 FROM (
+      SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+ORACLE_SQL: dict[str, str] = {"op10_quality": _QUALITY, "edited_texts": _EDITED}

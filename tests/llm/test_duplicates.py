@@ -261,3 +261,15 @@ def test_substrings_bear_awkward_rows(awkward, nothing):
     by = {r["doc_id"]: r for r in rows}
     assert by[5]["text"] == AWKWARD[4][1] and by[6]["text"] == "" and by[1]["text"] == by[2]["text"] == ""
     assert dedup_substrings(nothing).count() == 0
+
+
+def test_names_that_clash(spark):
+    """Columns of the caller keep their values, even under names that the operators use for their own."""
+    from sumiveil.llm.quality import measure
+    from sumiveil.llm.substrings import with_substrings_removed
+
+    names = ["_key", "_later", "_rank", "_words", "_n", "__key", "_bad", "key", "fp", "rank", "digest"]
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", *range(len(names))), (2, "one two three four five six seven eight nine ten eleven", *range(9, 9 + len(names)))], ["doc_id", "text", *names])
+    for out in (measure(docs), with_substrings_removed(docs), one_of_each(docs)):
+        rows = {r["doc_id"]: r for r in out.collect()}
+        assert [rows[1][c] for c in names] == list(range(len(names))) and out.columns[: len(docs.columns)] == docs.columns
