@@ -15,7 +15,7 @@ def rows(frame):
 
 
 def test_one_query_of_each_number():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
     import __spark_entry__
 
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
