@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,7 +226,7 @@ def stream_mask(spark, sf_dir):
     """Documents as a stream, masked with a frozen mapping, written by the streaming sink and read back."""
     known = _docs(spark, sf_dir).select(F.explode(D.email_spans("text")).alias("s")).where("s.value < 'm'").select("s.value").distinct()
     mapping = {v: f"{{{{EMAIL_{k}}}}}" for k, v in enumerate(sorted(r["value"] for r in known.collect()), 1)}  # of a size that a person has reviewed
-    docs = spark.readStream.schema(_docs(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet" if Path(f"{sf_dir}/documents.parquet").is_dir() else f"{sf_dir}/documents*.parquet")
+    docs = spark.readStream.schema(_docs(spark, sf_dir).schema).parquet(f"{sf_dir}/documents*.parquet")  # a file or a folder: a stream takes no single file
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     masked = mask_stream(docs.select("doc_id", "text"), mapping)
     masked.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
