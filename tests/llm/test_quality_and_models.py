@@ -321,3 +321,23 @@ def test_pipeline_bears_awkward_rows(spark, awkward, nothing):
             out = stage(spark, docs, sf)
             assert out.count() >= 0
             assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+
+
+def test_license_recall_over_edited_templates(spark):
+    """Templates with words changed, whose containment is 0.8 or more, inside other words: nearly all are found."""
+    from sumiveil.llm import licenses as L
+
+    rng, rows, wanted = random.Random(12), [], set()
+    for name, text in L.TEMPLATES.items():
+        own = set(L.template_shingles(text))
+        for _ in range(12):
+            words = text.split()
+            for _ in range(rng.randint(0, max(0, len(own) // 25 + 1))):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(1000)}"
+            around = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(0, 60))) for _ in range(2)]
+            i = len(rows)
+            rows.append((i, f"{around[0]} {' '.join(words)} {around[1]}"))
+            if len(own & set(L.template_shingles(rows[i][1]))) >= L.LEAST * len(own):
+                wanted.add((i, name))
+    got = {(r["doc_id"], r["license"]) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(wanted) > 120 and len(wanted & got) >= 0.97 * len(wanted), (len(wanted), len(wanted & got))
