@@ -252,3 +252,9 @@ def test_address_without_caps(spark):
     number, chain = "1" + "-1" * 300, "東棟" * 60
     row = docs(spark, f"東京都千代田区千代田{number}", f"大阪府北区1-1サクラビル{chain}12階です").orderBy("doc_id").select(pattern_spans("text").alias("s")).collect()
     assert [s["value"] for s in row[0]["s"]] == [f"東京都千代田区千代田{number}"] and [s["value"] for s in row[1]["s"]] == [f"大阪府北区1-1サクラビル{chain}12階"]
+
+
+def test_then_orders_rows_of_one_id(spark):
+    rows = [(None, k, f"u{k}@b.co") for k in (3, 1, 2)]
+    _, mapping = M.mask(spark.createDataFrame(rows, "doc_id long, own long, text string"), then=("own",))
+    assert {r["value"]: r["n"] for r in mapping.collect()} == {f"u{k}@b.co": k for k in (1, 2, 3)}

@@ -25,3 +25,17 @@ def test_query_matches_sql(spark, duck, name):
     got = Q.QUERIES[name](spark, SF).toPandas()
     if name in Q.ORACLE_SQL:
         assert rows(got) == rows(duck.execute(Q.ORACLE_SQL[name]).df())
+
+
+def sides(spark, folder, name, texts):
+    """A query and its SQL over documents whose file has the last one first."""
+    frame = pd.DataFrame({"doc_id": range(1, len(texts) + 1), "text": texts}).iloc[::-1]
+    frame.to_parquet(f"{folder}/documents.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return rows(Q.QUERIES[name](spark, str(folder)).toPandas()), rows(con.execute(Q.ORACLE_SQL[name]).df())
+
+
+def test_numbers_do_not_depend_on_the_files(spark, tmp_path):
+    got, sql = sides(spark, tmp_path, "mask_without_ids", ["first@b.co " * 5, *(f"u{k}@b.co" for k in range(11))])
+    assert got == sql
