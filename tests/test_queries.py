@@ -39,3 +39,8 @@ def sides(spark, folder, name, texts):
 def test_numbers_do_not_depend_on_the_files(spark, tmp_path):
     got, sql = sides(spark, tmp_path, "mask_without_ids", ["first@b.co " * 5, *(f"u{k}@b.co" for k in range(11))])
     assert got == sql
+
+
+def test_whole_words_inside_addresses_count(spark, tmp_path):
+    got, sql = sides(spark, tmp_path, "whole_word_match", ["the.a@b.co the then", "x@the.co", "other"])
+    assert got == sql == [("1", "2"), ("2", "1")]
